@@ -30,8 +30,8 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.StringArray:
     return arr
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about SLICE_BYTES of text, at least one row each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about `size` bytes of the column, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -39,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -26,6 +26,8 @@ DEPTH, DISCOUNT = 3, 0.5
 SHARE, LEAST = 1e-6, 2
 #: No word holds white space, so this name of the end is free.
 END = b"\n"
+#: Bytes of word numbers (four each) that a counting and a scoring step work on.
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 3 << 20
 
 
 def hashes(found: pa.Array) -> np.ndarray:
@@ -172,7 +174,7 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _count_next(batches, tree: Tree, level: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "stream", COUNT_BYTES):
         symbol, first, _ = _unpacked(batch)
         context = tree.contexts(symbol, first, level)[level - 1]
         own = (context >= 0) & (symbol >= 0)
@@ -181,7 +183,7 @@ def _count_next(batches, tree: Tree, level: int) -> Iterator[pa.RecordBatch]:
 
 
 def _score(batches, tree: Tree) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "stream", SCORE_BYTES):
         symbol, first, off = _unpacked(batch)
         length, place = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
         for d, context in enumerate(tree.contexts(symbol, first, len(tree.state)) if tree.state else [], 1):
@@ -218,9 +220,9 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, share: float = SH
         shared.unpersist()
     shared = spark.sparkContext.broadcast(tree)
     scored = streams.select("uid", "doc_id", "held_out", "stream").mapInArrow(lambda b: _score(b, shared.value), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
-    uses = streams.select("uid", F.explode("rare").alias("h")).groupBy("uid", "h").agg(F.count("*").alias("k"))
+    uses = streams.select("uid", F.explode("rare").alias("h"))
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.scale))
-    rare = uses.join(vocabulary.where(F.col("n") < least), "h", "left").groupBy("uid").agg(F.sum(F.col("k") * log_p).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
+    rare = uses.join(vocabulary.where(F.col("n") < least), "h", "left").groupBy("uid").agg(F.sum(log_p).alias("rare"), F.count_if(F.col("n") > 0).alias("rare_known"))
     zero = F.lit(0.0)
     return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(size.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare", zero)).alias("base_score"), (F.col("own") + F.coalesce("rare", zero)).alias("score")
