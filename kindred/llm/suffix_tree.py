@@ -92,10 +92,10 @@ class Tree:
         uses = self.counts[level - 1]
         shorter, there = self.shorter(level, np.arange(n))
         below = 10.0 ** self.probability(shorter[parent], there[parent], last)
-        seen = np.bincount(parent, counts, n)
+        seen = np.bincount(parent, counts, n).astype(float)
         left = np.maximum(0.0, uses - seen)
-        covered = np.minimum(1 - 1e-12, np.bincount(parent, below, n))
-        divergence = np.bincount(parent, counts * np.log(counts / uses[parent] / below), n)
+        covered = np.minimum(1 - 1e-12, np.bincount(parent, below, n).astype(float))
+        divergence = np.bincount(parent, counts * np.log(counts / uses[parent] / below), n).astype(float)
         divergence += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / np.maximum(uses, 1) / (1 - covered)), 0.0)
         kinds = np.bincount(parent, minlength=n)
         kept = (kinds > 0) & (divergence > 0.5 * (kinds + 1) * np.log(max(2, self.total)))
@@ -193,7 +193,7 @@ def _score(batches, tree: Tree) -> Iterator[pa.RecordBatch]:
         base = np.zeros(len(symbol))
         base[known] = tree.root[symbol[known]]
         text = np.repeat(np.arange(batch.num_rows), np.diff(off))
-        sums = [np.bincount(text, x, batch.num_rows) for x in (base, tree.probability(length, place, symbol))]
+        sums = [np.bincount(text, x, batch.num_rows).astype(float) for x in (base, tree.probability(length, place, symbol))]
         count = np.bincount(text, known, batch.num_rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(off)), pa.array(count), *map(pa.array, sums)], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
 
