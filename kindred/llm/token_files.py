@@ -55,7 +55,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary from a bounded sample of serialised id arrays; empty if there's too little."""
     import zstandard
 
-    sample = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    hashed = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    least = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone first: every task offers its least
+    sample = hashed.where(F.col("h") <= least).orderBy("h", "text").limit(SAMPLE_DOCS).collect() if least is not None else []
     if not sample:
         return b""
     enc = encoder(tokenizer)
