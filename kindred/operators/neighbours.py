@@ -11,11 +11,11 @@ from kindred.functions.vec import dot, unit
 
 
 def pairs(vectors: DataFrame, measure: Callable[[Column, Column], Column], prepare: Callable[[Column], Column] | None = None, ordered: bool = True) -> DataFrame:
-    """(a, b, score) of all pairs, a < b if ordered, else a <> b; `prepare` runs once a row."""
+    """(a, b, score) of all pairs, a < b if ordered, else a <> b; `prepare` runs once a row. The left side is dealt out: each of its rows meets all others."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = vectors.select("vec_id", (prepare(x) if prepare else x).alias("x"))
     left, right = rows.select(F.col("vec_id").alias("a"), F.col("x")), rows.select(F.col("vec_id").alias("b"), F.col("x").alias("y"))
-    met = left.join(right, F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
+    met = left.repartition("a").join(right, F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
     return met.select("a", "b", measure(F.col("x"), F.col("y")).alias("score"))
 
 

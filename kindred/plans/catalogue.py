@@ -30,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", raster.quantize(F.col("embedding")).alias("q"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")  # few rows in a file, much work a row
+    return rows.select("vec_id", raster.quantize(F.col("embedding")).alias("q"))
 
 
 def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
