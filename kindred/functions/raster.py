@@ -56,6 +56,13 @@ def median_hash(pixels: str = "q") -> Column:
     return pack(bound(f"array_sort({pixels})", bound("get(m, 31) + get(m, 32)", f"transform({pixels}, v -> 2 * v > m)")))
 
 
+def block_means(pixels: str = "q") -> Column:
+    """16 means of 2 x 2 pixels, less their own mean: the embedding of a raster where no model is given."""
+    corner = "16 * (c div 4) + 2 * (c % 4)"
+    means = "transform(sequence(0, 15), c -> (" + " + ".join(f"get({pixels}, int({corner} + {k}))" for k in (0, 1, 8, 9)) + ") / 4.0D)"
+    return F.expr(f"get(transform(array({means}), b -> transform(b, v -> v - aggregate(b, 0.0D, (a, x) -> a + x) / 16)), 0)")
+
+
 GATE = {"ahash": average_hash, "dhash": difference_hash, "mhash": median_hash}
 
 

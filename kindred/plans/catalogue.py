@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import bits, raster, vec
 from kindred.operators import grouping, mih, neighbours
 from kindred.sources import store
+from kindred.sources.scratch import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,12 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")  # few rows in a file, much work a row
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism, "vec_id")  # few rows in a file, much work a row
     return rows.select("vec_id", raster.quantize(F.col("embedding")).alias("q"))
 
 
 def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.signatures(raster.family(rasters(spark, sf_dir)))
+    """Gate signatures of the family; written once, as the joins read them several times."""
+    return materialize(raster.signatures(raster.family(rasters(spark, sf_dir))), "keys")
 
 
 def joined(column: str) -> F.Column:

@@ -52,3 +52,46 @@ def sniffed(content: Column) -> Column:
 
 def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("hash_a"), F.greatest(a, b).alias("hash_b")
+
+
+def prune_pairs(cache: DataFrame, gone: DataFrame) -> DataFrame:
+    """The pair cache (hash_a, hash_b, ...) without pairs that hold a hash of gone (one column, nulls ignored)."""
+    own = gone.toDF("_h").where("_h is not null").distinct()
+    for side in ("hash_a", "hash_b"):
+        cache = cache.join(own, F.col(side) == F.col("_h"), "left_anti")
+    return cache
+
+
+def backfill_due(images: DataFrame, features: DataFrame, extractors: int) -> DataFrame:
+    """(image_id, n_algorithms) of images that are not ready or have fewer distinct algorithms than there are extractors."""
+    have = features.groupBy("image_id").agg(F.count_distinct("algorithm").alias("n_algorithms"))
+    all_of = images.join(have, "image_id", "left").withColumn("n_algorithms", F.coalesce("n_algorithms", F.lit(0)))
+    return all_of.where((F.col("feature_status") != "ready") | (F.col("n_algorithms") < extractors)).select("image_id", "n_algorithms")
+
+
+def next_ids(df: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
+    """df with new integer ids above the largest of existing, by `order`."""
+    from kindred.operators.ownership import dense_slots
+
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    return df.join(dense_slots(df, order), order).crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("slot") + 1).drop("_top", "slot")  # one row
+
+
+def delete_image(images: DataFrame, features: DataFrame, cache: DataFrame, image_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without an image, its features and the cached pairs of its hash."""
+    gone = images.where(F.col("image_id") == image_id)
+    return images.where(F.col("image_id") != image_id), features.where(F.col("image_id") != image_id), prune_pairs(cache, gone.select("file_hash"))
+
+
+def delete_project(images: DataFrame, features: DataFrame, project_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images and features that stay, and the images that went."""
+    gone = images.where(F.col("project_id") == project_id)
+    return images.where(F.col("project_id") != project_id), without(features, gone.select("image_id"), ["image_id"]), gone
+
+
+def set_status(images: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """feature_status of the images in ids (image_id)."""
+    if status not in ("pending", "computing", "ready"):
+        raise ValueError(f"no such status: {status}")
+    marked = ids.select("image_id").distinct().withColumn("_m", F.lit(True))
+    return images.join(marked, "image_id", "left").withColumn("feature_status", F.when(F.col("_m"), status).otherwise(F.col("feature_status"))).drop("_m")
