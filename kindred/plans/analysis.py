@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from kindred.functions import bits, crops as crop_functions, raster, vec
+from kindred.functions import bits, kernels, raster
+from kindred.functions import crops as crop_functions
 from kindred.operators import compare, crops, descriptors, grouping, mih, neighbours, ownership
 from kindred.plans.catalogue import _BASE, _HASHES, _KNN, _NEAR, _RASTERS, _VOTES, _ALL, _FAMILY, _oriented, _turn, family_keys, gate_confirmed, query, rasters, table
-from kindred.sources import store
+from kindred.sources import ingest, store
 from kindred.sources.scratch import materialize
 
 GATE = ["dhash"]
@@ -241,3 +244,36 @@ def similar_images(spark, sf_dir):
     """The ten most like each probe (ids divisible by 50), among all."""
     keys = rasters(spark, sf_dir).select(F.col("vec_id").alias("image_id"), raster.average_hash("q").alias("key"), F.col("vec_id").cast("string").alias("file_hash"))
     return compare.similar_to(keys, keys.where("image_id % 50 = 0"), 10, 0.5)
+
+
+def _pictures(spark, sf_dir):
+    """Rasters as 8-bit gray pictures: 128 and a 16th of the quantised value, within 0 to 255."""
+    level = F.transform("q", lambda v: F.least(F.greatest(F.floor(v / 16) + 128, F.lit(0)), F.lit(255)))
+    hexed = F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return rasters(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(hexed).alias("data"))
+
+
+@query()
+def raster_features(spark, sf_dir):
+    """All signatures of all rasters in numpy; floats decide bits, so there is no SQL for it."""
+    return ingest.features(_pictures(spark, sf_dir))
+
+
+@query()
+def slice_coverage(spark, sf_dir):
+    """How the quarters of each raster are found in its neighbour by id, and in itself turned."""
+    rows = _pictures(spark, sf_dir).select("image_id", "data")
+    other = rows.select((F.col("image_id") - 1).alias("image_id"), F.col("data").alias("other"))
+
+    def step(batches):
+        for batch in batches:
+            out = []
+            for i, a, b in zip(batch["image_id"], batch["data"], batch["other"]):
+                x = np.frombuffer(bytes(a), np.uint8).reshape(8, 8)
+                y = np.rot90(x) if b is None else np.frombuffer(bytes(b), np.uint8).reshape(8, 8)
+                for name, z in (("neighbour", y), ("turned", np.rot90(x))):
+                    found = kernels.slice_match(x, z)
+                    out.append((i, name, found["coverage"], found["mean_score"], found["is_slice_of_a"]))
+            yield pd.DataFrame(out, columns=["image_id", "against", "coverage", "mean_score", "is_slice"])
+
+    return rows.join(other, "image_id", "left").mapInPandas(step, "image_id long, against string, coverage double, mean_score double, is_slice boolean")
