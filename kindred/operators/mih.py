@@ -32,7 +32,8 @@ def near_keys(keys: DataFrame, radius: int = RADIUS, complete: bool = False) ->
     """
     own = keys.select("algo", "key").distinct()
     n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * keys.sparkSession.sparkContext.defaultParallelism)
-    split = (blocks(own, radius + 1) if complete and radius > 7 else bands(own)).repartition(n, "algo", "band", "byte")
+    # up to 7, radius + 1 blocks find all, are wider than bytes and so meet fewer keys
+    split = (blocks(own, radius + 1) if complete or radius < 7 else bands(own)).repartition(n, "algo", "band", "byte")
     left = split.select("algo", "band", "byte", F.col("key").alias("a"))
     right = split.select("algo", "band", "byte", F.col("key").alias("b"))
     found = left.join(right, ["algo", "band", "byte"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius)).select("algo", "a", "b").distinct()
