@@ -1,27 +1,104 @@
-"""Exact nearest neighbours, mutual neighbours and the ratio test over dense vectors."""
+"""Exact nearest neighbours, mutual neighbours and the ratio test over dense vectors, by blocks of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.vec import dot, unit
+#: Rows of a block, about; two blocks and their products are what a task holds at once.
+BLOCK = 512
 
 
-def pairs(vectors: DataFrame, measure: Callable[[Column, Column], Column], prepare: Callable[[Column], Column] | None = None, ordered: bool = True) -> DataFrame:
-    """(a, b, score) of all pairs, a < b if ordered, else a <> b; `prepare` runs once a row. The left side is dealt out: each of its rows meets all others."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select("vec_id", (prepare(x) if prepare else x).alias("x"))
-    left, right = rows.select(F.col("vec_id").alias("a"), F.col("x")), rows.select(F.col("vec_id").alias("b"), F.col("x").alias("y"))
-    met = left.repartition("a").join(right, F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
-    return met.select("a", "b", measure(F.col("x"), F.col("y")).alias("score"))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero stays zero."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def centred_unit(x: np.ndarray) -> np.ndarray:
+    return unit(x - x.mean(1, keepdims=True))
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.clip(unit(x) @ unit(y).T, 0, 1)
+
+
+def centred_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.clip(centred_unit(x) @ centred_unit(y).T, 0, 1)
+
+
+def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's r mapped to (r + 1) / 2; no variance gives 0."""
+    a, b = centred_unit(x), centred_unit(y)
+    return np.where(a.any(1)[:, None] & b.any(1)[None, :], (a @ b.T + 1) / 2, 0)
+
+
+def exp_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    # differences row by row: exact for equal vectors, where squares and products would cancel badly
+    return np.exp(-np.stack([np.sqrt(((y - r) ** 2).sum(1)) for r in x]))
+
+
+def block_pairs(vectors: DataFrame, ordered: bool) -> DataFrame:
+    """(xi, x, yi, y): each two blocks of vectors that meet, once if ordered, else both ways; ids and flat components.
+
+    Blocks are drawn by a hash of the id, so no id range and no hot source makes one larger. Null vectors take no part;
+    all others must be of one length.
+    """
+    rows = vectors.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v")).where("vec_id is not null and v is not null")
+    n = max(1, ceil(rows.count() / BLOCK))
+    held = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("s"))
+    held = held.select("b", F.col("s.vec_id").alias("i"), F.flatten("s.v").alias("f"))
+    met = F.sequence(F.col("b"), F.lit(n - 1).cast("long")) if ordered else F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    left = held.select(F.col("i").alias("xi"), F.col("f").alias("x"), F.explode(met).alias("b"))
+    tasks = min(n * n, 8 * vectors.sparkSession.sparkContext.defaultParallelism)
+    return left.join(held.select("b", F.col("i").alias("yi"), F.col("f").alias("y")), "b").drop("b").repartition(tasks)
+
+
+def _each(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            xi, x, yi, y = (batch.column(k)[r].values.to_numpy(zero_copy_only=False) for k in ("xi", "x", "yi", "y"))
+            yield xi, x.reshape(len(xi), -1), yi, y.reshape(len(yi), -1)
+
+
+def _batch(a, b, score) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["a", "b", "score"])
+
+
+def pairs(vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, digits: int = 6) -> DataFrame:
+    """(a, b, score), a < b, of all pairs whose rounded score is `least` at least. Every pair is measured, as a matrix of two blocks; only those that reach it leave the worker."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for xi, x, yi, y in _each(batches):
+            score = np.round(measure(x, y), digits)
+            r, c = np.nonzero(score >= least)
+            a, b, score = xi[r], yi[c], score[r, c]
+            if xi[0] == yi[0] and len(xi) == len(yi):  # a block with itself
+                keep = a < b
+                a, b, score = a[keep], b[keep], score[keep]
+            yield _batch(np.minimum(a, b), np.maximum(a, b), score)
+
+    return block_pairs(vectors, True).mapInArrow(step, "a long, b long, score double")
 
 
 def nearest(vectors: DataFrame, k: int) -> DataFrame:
-    """(a, b, score, rank): the k of largest cosine of every vector, ties to the smaller id."""
-    met = pairs(vectors, dot, unit, ordered=False).withColumn("score", F.round("score", 9))
+    """(a, b, score, rank): the k of largest cosine of every vector, ties to the smaller id. Each block gives its own k best, so k rows a block and vector are ranked."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for xi, x, yi, y in _each(batches):
+            score = np.round(unit(x) @ unit(y).T, 9)
+            score[xi[:, None] == yi[None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # yi ascends, so equal scores keep the order of ids
+            a, b, s = np.repeat(xi, best.shape[1]), yi[best].ravel(), np.take_along_axis(score, best, 1).ravel()
+            keep = np.isfinite(s)
+            yield _batch(a[keep], b[keep], s[keep])
+
+    met = block_pairs(vectors, False).mapInArrow(step, "a long, b long, score double")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import bits, raster, vec
+from kindred.functions import bits, raster
 from kindred.operators import grouping, mih, neighbours
 from kindred.sources import store
 from kindred.sources.scratch import materialize
@@ -121,28 +121,24 @@ _CENTRED = ", c AS (SELECT vec_id, list_transform(x, lambda v: v - list_sum(x) /
 _COS = "list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)))"
 
 
-def _above(df: DataFrame, least: float) -> DataFrame:
-    return df.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
-
-
 @query(_PAIRS.format(more="", source="e", score=f"greatest(0.0, least(1.0, {_COS}))", least=0.25))
 def cosine_pairs(spark, sf_dir):
-    return _above(neighbours.pairs(table(spark, sf_dir, "embeddings"), lambda x, y: vec.clamp01(vec.dot(x, y)), vec.unit), 0.25)
+    return neighbours.pairs(table(spark, sf_dir, "embeddings"), neighbours.cosine, 0.25)
 
 
 @query(_PAIRS.format(more=_CENTRED, source="c", score=f"greatest(0.0, least(1.0, {_COS}))", least=0.25))
 def centred_cosine_pairs(spark, sf_dir):
-    return _above(neighbours.pairs(table(spark, sf_dir, "embeddings"), lambda x, y: vec.clamp01(vec.dot(x, y)), vec.centred_unit), 0.25)
+    return neighbours.pairs(table(spark, sf_dir, "embeddings"), neighbours.centred_cosine, 0.25)
 
 
 @query(_PAIRS.format(more=_CENTRED, source="c", score=f"({_COS} + 1) / 2", least=0.6))
 def correlation_pairs(spark, sf_dir):
-    return _above(neighbours.pairs(table(spark, sf_dir, "embeddings"), lambda x, y: (vec.dot(x, y) + 1) / 2, vec.centred_unit), 0.6)
+    return neighbours.pairs(table(spark, sf_dir, "embeddings"), neighbours.correlation, 0.6)
 
 
 @query(_PAIRS.format(more="", source="e", score="exp(-list_distance(a.x, b.x))", least=0.28))
 def exp_distance_pairs(spark, sf_dir):
-    return _above(neighbours.pairs(table(spark, sf_dir, "embeddings"), vec.exp_distance), 0.28)
+    return neighbours.pairs(table(spark, sf_dir, "embeddings"), neighbours.exp_distance, 0.28)
 
 
 _KNN = f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 9) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p) "
