@@ -34,6 +34,15 @@ def algorithm_pairs(keys: DataFrame, threshold: float) -> DataFrame:
     return met.groupBy("i", "j", "algo").agg((1 - F.min(hamming(F.col("a"), F.col("b"))) / F.lit(64.0)).alias("score"))
 
 
+def same_orientation_pairs(keys: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, algo, score), i < j: like algorithm_pairs, but an orientation is held against the same one only."""
+    near = near_keys(keys, radius_of(threshold), complete=True)
+    left = keys.select(F.col("image_id").alias("i"), "algo", "variant_idx", F.col("key").alias("a"))
+    right = keys.select(F.col("image_id").alias("j"), "algo", "variant_idx", F.col("key").alias("b"))
+    met = left.join(near, ["algo", "a"]).join(right, ["algo", "variant_idx", "b"]).where("i < j")
+    return met.groupBy("i", "j", "algo").agg((1 - F.min(hamming(F.col("a"), F.col("b"))) / F.lit(64.0)).alias("score"))
+
+
 def smart_votes(keys: DataFrame, gate: list[str], threshold: float = SMART_THRESHOLD) -> DataFrame:
     """(i, j, n_agree, algorithms, gated, score): what the algorithms that reach the threshold say of a pair."""
     hits = algorithm_pairs(keys, threshold)

@@ -37,6 +37,12 @@ def variant_max_pairs(spark, sf_dir):
     return compare.algorithm_pairs(family_keys(spark, sf_dir).where("algo = 'dhash'"), compare.THRESHOLD)
 
 
+@query(f"WITH {_BASE}, own AS (SELECT image_id, algo, variant_idx, key FROM keys WHERE algo = 'dhash') SELECT a.image_id AS i, b.image_id AS j, a.algo, (1 - min({_BITS}) / 64.0)::DOUBLE AS score FROM own a JOIN own b ON a.variant_idx = b.variant_idx AND a.image_id < b.image_id AND {_BITS} <= {compare.radius_of(compare.THRESHOLD)} GROUP BY 1, 2, 3")
+def same_orientation_pairs(spark, sf_dir):
+    """The older mode of variant_max_pairs."""
+    return compare.same_orientation_pairs(family_keys(spark, sf_dir).where("algo = 'dhash'"), compare.THRESHOLD)
+
+
 def _compared(spark, sf_dir):
     keys = plain_keys(spark, sf_dir)
     return keys, materialize(grouping.members(compare.algorithm_pairs(keys, compare.THRESHOLD)), "members")
