@@ -82,6 +82,12 @@ def smart_groups(spark, sf_dir):
     return compare.smart_groups(materialize(smart_votes(spark, sf_dir), "votes"))
 
 
+@query(f"WITH RECURSIVE {_BASE}, {_SMART_HITS}, c AS (SELECT * FROM said WHERE n_agree >= {compare.MIN_AGREE} AND gated), e AS (SELECT i AS u, j AS v FROM c UNION SELECT j, i FROM c), r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), m AS (SELECT u AS image_id, min(v) AS group_id FROM r GROUP BY u), w AS (SELECT x.group_id, max(h.score)::DOUBLE AS confidence, string_agg(DISTINCT h.algo, ',' ORDER BY h.algo) AS algorithms FROM hits h JOIN c USING (i, j) JOIN m x ON x.image_id = h.i GROUP BY 1) SELECT group_id, count(*) AS n_images, string_agg(image_id::VARCHAR, ',' ORDER BY image_id) AS members, any_value(confidence) AS confidence, any_value(algorithms) AS algorithms FROM m JOIN w USING (group_id) GROUP BY group_id")
+def smart_groups_confirmed(spark, sf_dir):
+    """The older mode of smart_groups: only confirmed pairs count for the confidence and the algorithms."""
+    return compare.smart_groups(materialize(compare.smart_confirmed(smart_votes(spark, sf_dir)), "votes"))
+
+
 @query(_ALL + "SELECT image_id % 10 AS member, count(*) AS n_grouped, sum(CASE WHEN group_id = image_id - image_id % 10 THEN 1 ELSE 0 END)::BIGINT AS with_original FROM members GROUP BY 1")
 def group_recovery_by_family(spark, sf_dir):
     placed = grouping.members(gate_confirmed(spark, sf_dir))

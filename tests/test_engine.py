@@ -12,7 +12,7 @@ from kindred.plans import analysis  # noqa: F401  (adds its queries)
 from kindred.plans.catalogue import ORACLE_SQL, QUERIES
 from kindred.streaming.increment import run_increments
 
-QUICK = ["raster_quantize", "orientation_variants", "ahash_bits", "mhash_bits", "canonical_rot64", "exact_duplicates", "project_image_counts", "images_page", "features_ready", "feature_upsert", "cascade_delete", "latest_run", "unique_key_suffix", "extract_links", "owner_plan", "stub_embed", "full_gate", "backfill_due", "pair_cache_lookup", "pair_cache_prune", "run_summary_json", "extension_filter", "format_sniff", "match_score", "cross_check_matches", "ratio_matches", "similar_images", "crop_candidates", "compare_groups", "same_orientation_pairs"]
+QUICK = ["raster_quantize", "orientation_variants", "ahash_bits", "mhash_bits", "canonical_rot64", "exact_duplicates", "project_image_counts", "images_page", "features_ready", "feature_upsert", "cascade_delete", "latest_run", "unique_key_suffix", "extract_links", "owner_plan", "stub_embed", "full_gate", "backfill_due", "pair_cache_lookup", "pair_cache_prune", "run_summary_json", "extension_filter", "format_sniff", "match_score", "cross_check_matches", "ratio_matches", "similar_images", "crop_candidates", "compare_groups", "same_orientation_pairs", "smart_groups_confirmed"]
 
 
 @pytest.mark.parametrize("name", QUICK)
