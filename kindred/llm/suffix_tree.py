@@ -1,8 +1,8 @@
 """Probabilistic suffix tree over words, and the log10 probability of whole texts.
 
-States are contexts of up to DEPTH words. A context becomes a state if it is frequent enough to be
-looked at (SHARE of all training words: so there are at most 1 / SHARE of each length, whatever
-the corpus) and if what follows it diverges from what follows its longest retained suffix.
+States are contexts of up to DEPTH words. A context becomes a state if it is used LEAST times or more, in
+a corpus of any size, and if what follows it diverges from what follows its longest retained suffix.
+So the tree grows with the corpus. It is gathered on the driver and broadcast, which bounds the corpus by memory.
 A state's next-word distribution is discounted and interpolated with that suffix's; the root
 is the add-half unigram over every word of the corpus, of which there are as many as there are.
 """
@@ -22,8 +22,8 @@ from kindred.llm.common import distinct, flat, id_crc, lowered, slices, table, t
 from kindred.sources.scratch import materialize
 
 DEPTH, DISCOUNT = 3, 0.5
-#: A word, context or continuation has a place in the tree from this share of the training tokens on, and from LEAST uses.
-SHARE, LEAST = 1e-6, 2
+#: A word, context or continuation has a place in the tree from so many uses on.
+LEAST = 2
 #: No word holds white space, so this name of the end is free.
 END = b"\n"
 #: Bytes of word numbers (four each) that a counting and a scoring step work on.
@@ -53,7 +53,7 @@ def _count_words(batches) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """The bounded part of the model.
+    """All of the model but the rare words.
 
     symbols: sorted hashes of frequent words. Level d (1, 2, ...) lists the frequent sequences of d
     symbols by sorted key: for d > 1, key = place of the first d - 1 in the level before * number of symbols + last.
@@ -198,31 +198,30 @@ def _score(batches, tree: Tree) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(off)), pa.array(count), *map(pa.array, sums)], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
 
 
-def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
     """Learn from documents for which held_out is false, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty: its one token is the end. Null and repeated ids stay rows; other columns
     are not read. Without training documents all words are unknown. Probabilities of the rare words
-    (below `share` of the tokens) come by a join on the word; all others from the tree.
+    (fewer than LEAST uses) come by a join on the word; all others from the tree.
     """
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     vocabulary = materialize(docs.where("not held_out").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(LEAST, int(np.ceil(share * size.n)))
-    frequent = vocabulary.where(F.col("n") >= least).toPandas().sort_values("h")
-    tree = Tree(frequent.h.to_numpy(np.int64), frequent.n.to_numpy(np.int64), size.n, size.v)
+    frequent = vocabulary.where(F.col("n") >= LEAST).toArrow().sort_by("h")
+    tree = Tree(frequent["h"].to_numpy(), frequent["n"].to_numpy(), size.n, size.v)
     streams = materialize(docs.mapInArrow(lambda b: _streams(b, tree.symbols), "uid long, doc_id long, held_out boolean, stream binary, rare array<long>"), "streams")
     spark = docs.sparkSession
     for level in range(1, depth + 1):
         shared = spark.sparkContext.broadcast(tree)
-        counts = streams.where("not held_out").select("stream").mapInArrow(lambda b: _count_next(b, shared.value, level), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()  # noqa: B023
-        tree.add(counts.k.to_numpy(np.int64), counts.n.to_numpy(np.int64))
+        counts = streams.where("not held_out").select("stream").mapInArrow(lambda b: _count_next(b, shared.value, level), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toArrow()  # noqa: B023
+        tree.add(counts["k"].to_numpy(), counts["n"].to_numpy())
         shared.unpersist()
     shared = spark.sparkContext.broadcast(tree)
     scored = streams.select("uid", "doc_id", "held_out", "stream").mapInArrow(lambda b: _score(b, shared.value), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
     uses = streams.select("uid", F.explode("rare").alias("h"))
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.scale))
-    rare = uses.join(vocabulary.where(F.col("n") < least), "h", "left").groupBy("uid").agg(F.sum(log_p).alias("rare"), F.count_if(F.col("n") > 0).alias("rare_known"))
+    rare = uses.join(vocabulary.where(F.col("n") < LEAST), "h", "left").groupBy("uid").agg(F.sum(log_p).alias("rare"), F.count_if(F.col("n") > 0).alias("rare_known"))
     zero = F.lit(0.0)
     return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(size.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare", zero)).alias("base_score"), (F.col("own") + F.coalesce("rare", zero)).alias("score")

@@ -267,6 +267,13 @@ def test_suffix_tree_is_a_distribution():
         assert np.isclose(known + unknown, 1)
 
 
+def test_suffix_tree_learns_from_few_uses_in_a_large_corpus(spark):
+    rows = [(0, "zig zag"), *[(i, "zig zag") for i in (1, 2, 3)], *[(i, "a " * 1_000_000) for i in range(4, 8)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_tree.score_texts(docs, F.col("doc_id") == 0).where("held_out").first()
+    assert got.score > got.base_score + 3
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
