@@ -128,11 +128,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     return ranked.select(*columns, "_source", "_rank").mapInArrow(lambda b: _slots(b, lanes, counts, block, columns), f"{schema}, block long, slot long, position long")
 
 
-def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK_DOCS) -> DataFrame:
-    """docs in the order of the mix: partitions by range of position, sorted within."""
+def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK_DOCS, position: bool = False) -> DataFrame:
+    """docs in the order of the mix: partitions by range of position, sorted within. The order is only sure to outlast a write with `position` as a column."""
     mixed = mix(docs, weights, block)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*[c for c in docs.columns if c in mixed.columns and c not in ("block", "slot", "position")])
+    columns = [c for c in docs.columns if c in mixed.columns and c not in ("block", "slot", "position")]
+    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*columns, *(["position"] if position else []))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from kindred.llm.tokenizer import default_path, encoder
 from kindred.sources.scratch import materialize
 
 WINDOW = 1024
+#: Consecutive documents of a mix that are packed together.
+STRETCH_DOCS = 2048
 PIECE = "split long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local_rank long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -105,7 +107,8 @@ def _pieces(batches, tokenizer: str, window: int) -> Iterator[pa.RecordBatch]:
         rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(by) - by, by)
         rank += seen[length]
         seen += by
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), split)), part.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *map(pa.array, (start, length, crc, n[doc], rank))], ["split", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_rank"])
+        carried = [c for c in ("position",) if c in part.schema.names]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), split)), part.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *map(pa.array, (start, length, crc, n[doc], rank)), *(part.column(c).take(pa.array(doc)) for c in carried)], ["split", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_rank", *carried])
 
 
 def _place(batches, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,5 +145,36 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     return ranked.mapInArrow(lambda b: _place(b, rows), PACKED)
 
 
+def _pack_stretch(found: pa.Table, window: int) -> pa.Table:
+    """Best-fit decreasing for the pieces of one stretch; sequence_id counts from 0 in it."""
+    length, position, start = (found.column(c).to_numpy() for c in ("length", "position", "start"))
+    order = np.lexsort((start, position, length))
+    by = np.bincount(length, minlength=window + 1)
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(by) - by, by)
+    rows = plan({int(x): int(by[x]) for x in np.flatnonzero(by)}, window)
+    batch = found.append_column("rank", pa.array(rank)).combine_chunks().to_batches()
+    return pa.Table.from_batches(_place(batch, rows)).append_column("stretch", found.column("stretch"))
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, stretch: int | None = None) -> DataFrame:
+    """As pack, but sequences follow the column `position` (from 0, gapless), as mix gives it.
+
+    Each `stretch` of consecutive documents is packed by itself and its sequences come after those of
+    the stretches before, so sources have their shares in every run of whole stretches.
+    """
+    tokenizer, stretch = tokenizer or default_path(), stretch or STRETCH_DOCS
+    pieces = docs.select("doc_id", "text", "position").mapInArrow(lambda b: _pieces(b, tokenizer, window), f"{PIECE}, position long")
+    pieces = materialize(pieces.withColumn("stretch", F.expr(f"position div {stretch}")), "pieces")
+    packed = materialize(pieces.groupBy("stretch").applyInArrow(lambda t: _pack_stretch(t, window), f"{PACKED}, stretch long"), "packed")
+    ends = sorted((r.stretch, r.n) for r in packed.groupBy("stretch").agg((F.max("sequence_id") + 1).alias("n")).collect())
+    before, bases = 0, []
+    for s, n in ends:
+        bases.append((s, before))
+        before += n
+    base = docs.sparkSession.createDataFrame(bases, "stretch long, base long")
+    return packed.join(F.broadcast(base), "stretch").withColumn("sequence_id", F.col("sequence_id") + F.col("base")).drop("stretch", "base")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

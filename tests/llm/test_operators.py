@@ -290,6 +290,22 @@ def test_neighbours_recall(spark):
     assert all(np.isclose(r.score, d[r.query_id] @ d[r.vec_id]) for r in found[:200])
 
 
+def test_sequences_of_the_pipeline_follow_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "STRETCH_DOCS", 30, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 999, int(rng.integers(5, 200)))), "a" if i < 200 else "bc"[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    stages = dict(corpus_pipeline.STAGES)
+    packed = stages["packing"](spark, stages["mixing"](spark, docs, ""), "").orderBy("sequence_id", "offset").collect()
+    source, seen = {r[0]: r[2] for r in rows}, list(dict.fromkeys(r.doc_id for r in packed))
+    assert sorted(seen) == list(range(300))
+    assert all(10 <= n <= 30 for n in Counter(source[x] for x in seen[:60]).values()) and len({source[x] for x in seen[:60]}) == 3
+    ids = sorted({r.sequence_id for r in packed})
+    assert ids == list(range(len(ids)))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
