@@ -72,7 +72,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take in what surrounds them")
+        self.added = {t.content for t in added}
+        longest = sorted((x.encode() for x in self.added), key=len, reverse=True)
+        self.find_added = re.compile(b"|".join(map(re.escape, longest))).finditer if longest else None
         self.size = self.model.get_vocab_size()
         self.merge = self.model.model.tokenize
         self._forget()
@@ -87,7 +92,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            got = [[t.id for t in self.merge(x.encode().decode("latin-1").translate(_LETTERS))] if _WHOLE(x) else None for x in part]
+            got = [[t.id for t in self.merge(x.encode().decode("latin-1").translate(_LETTERS))] if _WHOLE(x) and x not in self.added else None for x in part]
             rest = [i for i, x in enumerate(got) if x is None]
             for i, e in zip(rest, self.model.encode_batch_fast([part[i] for i in rest], add_special_tokens=False)):
                 got[i] = e.ids
@@ -104,10 +109,19 @@ class Encoder:
             self.at.update(zip(part, range(n, n + len(part))))
             self.used = to
 
+    def _cut_added(self, raw: np.ndarray, off: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Cuts with each added token of the file (such as <|endoftext|>) as one piece."""
+        data = raw.tobytes()
+        if self.find_added is None or next(self.find_added(data), None) is None:
+            return cuts
+        spans = np.array([m.span() for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in self.find_added(data, a, b)], np.int64).reshape(-1, 2)
+        inside = np.searchsorted(spans[:, 0], cuts, "left") > np.searchsorted(spans[:, 1], cuts, "right")
+        return np.union1d(np.union1d(cuts[~inside], spans.ravel()), off)
+
     def encode(self, arr: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text); every text ends with END_ID. No nulls."""
         raw, off = flat(arr)
-        cuts = safe_cuts(raw, off)
+        cuts = self._cut_added(raw, off, safe_cuts(raw, off))
         first = np.searchsorted(cuts, off)  # the piece that begins at each text
         if len(cuts) > 1:
             pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()

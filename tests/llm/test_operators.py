@@ -68,6 +68,17 @@ def test_tokenizer_cuts_change_nothing():
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [ids_of(t) for t in texts]
 
 
+def test_added_token_is_one_id():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_path())
+    mark = "<|endoftext|>"
+    texts = ["end of one" + mark + "next text", mark, mark + mark, "a " + mark + " b\n" + mark + "\n", "cut <|endof", "text|> here", "x<" + mark + ">it's", "<|endoftext" + mark, "plain", "é" + mark + "\u3000日本", ""]
+    ids, off = encoder(default_path()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [[*fresh.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def best_fit(lengths, window):
     left = []
     for x in sorted(lengths, reverse=True):
