@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (local runs, tests).
-LOCAL_DEFAULT = "/tmp/checkpoints"
+#: Spark then removes a query's shuffle files when the query has ended; a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set if there is none."""
+    """The folder in spark.checkpoint.dir. Only a local master, whose tasks share the machine, gets one of its own if there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = LOCAL_DEFAULT
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        found = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, deleted when the driver ends if discard() has not done so before."""
+    path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{name}"
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at.getParent())
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs a re-read of files that every
-    other executor sees, never the work that made them.
+    other executor sees, never the work that made them. So the shuffle files of the writing query go.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made and that nothing not yet written depends on."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at.getParent(), True)
