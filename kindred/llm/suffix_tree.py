@@ -2,13 +2,21 @@
 
 States are contexts of up to DEPTH words. A context becomes a state if it is used LEAST times or more, in
 a corpus of any size, and if what follows it diverges from what follows its longest retained suffix.
-So the tree grows with the corpus. It is gathered on the driver and broadcast, which bounds the corpus by memory.
 A state's next-word distribution is discounted and interpolated with that suffix's; the root
-is the add-half unigram over every word of the corpus, of which there are as many as there are.
+is the add-half unigram over every word of the corpus.
+
+The tree is never in one place. The corpus is cut into chunks; a chunk asks for what it holds: sorted
+64-bit hashes of its distinct sequences go to buckets (ranges of hashes), with how often each occurs in its training
+texts. A bucket adds up and answers each chunk in the order that it asked in. Round 1 counts words, round 2
+pairs; of longer sequences only those are asked for whose two parts are known from LEAST uses on, as no other can be.
+Contexts are asked for one round after their continuations are counted: the chunk that a bucket named as a
+continuation's owner adds what it contributes to the divergence. Everything that is dealt out is distinct within its
+chunk, so no word, pair or text weighs more in a bucket than it has chunks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,213 +27,309 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import distinct, flat, id_crc, lowered, slices, table, texts, words
-from kindred.sources.scratch import materialize
+from kindred.sources.scratch import discard, materialize
 
 DEPTH, DISCOUNT = 3, 0.5
-#: A word, context or continuation has a place in the tree from so many uses on.
+#: A context or continuation has a place in the tree from so many uses on.
 LEAST = 2
 #: No word holds white space, so this name of the end is free.
 END = b"\n"
-#: Bytes of word numbers (four each) that a counting and a scoring step work on.
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 3 << 20
+#: Tokens that a bucket is made for.
+BUCKET_TOKENS = 1 << 21
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Chunk rows between steps.
+CHUNK, ASKED = "chunk long, state binary", "bucket long, chunk long, keys binary, more binary"
+ANSWER = "chunk long, kind int, bucket long, answer binary, total long, distinct long, states long"
 
 
 def hashes(found: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.array(found.to_pylist() or [b""], object), categorize=False).view(np.int64)[: len(found)]
+    return pd.util.hash_array(np.array(found.to_pylist() or [b""], object), categorize=False).view(np.uint64)[: len(found)]
 
 
-END_HASH = int(hashes(pa.array([END]))[0])
+END_HASH = hashes(pa.array([END]))[0]
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of distinct words, number of each word, words of each text) of a slice."""
-    raw, off = flat(texts(batch))
-    raw = lowered(raw)
-    starts, ends, per = words(raw, off)
-    found, number = distinct(raw, starts, ends)
-    return hashes(found), number, per
+def packed(what) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(what, 5))
 
-def _count_words(batches) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        h, number, per = _tokens(part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(h, END_HASH)), pa.array(np.append(np.bincount(number, minlength=len(h)), len(per)).astype(np.int64))], ["h", "n"])
 
+def unpacked(data: bytes):
+    import zstandard
 
-class Tree:
-    """All of the model but the rare words.
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
-    symbols: sorted hashes of frequent words. Level d (1, 2, ...) lists the frequent sequences of d
-    symbols by sorted key: for d > 1, key = place of the first d - 1 in the level before * number of symbols + last.
-    """
 
-    def __init__(self, symbols: np.ndarray, counts: np.ndarray, total: int, vocabulary: int):
-        self.symbols, self.m = symbols, max(1, len(symbols))
-        self.total, self.scale = total, total + 0.5 * (vocabulary + 1)
-        self.root = np.log10((counts + 0.5) / self.scale) if len(counts) else np.zeros(0)
-        self.keys, self.counts = [np.arange(len(symbols))], [counts.astype(float)]
-        self.suffix: list[np.ndarray] = [np.zeros(len(symbols), np.int64)]  # place of the sequence without its first symbol
-        self.state: list[np.ndarray] = []  # [level - 1][place] -> longest retained suffix: its length
-        self.place: list[np.ndarray] = []  # ... and its place
-        self.rest: list[np.ndarray] = []  # log10 of the weight of the suffix's distribution in a state's
-        self.log_p: list[np.ndarray] = [self.root]  # [level - 1][place] log10 P(last | the others), if those are a state
-
-    def find(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Places on `level` of (place on the level before, symbol); -1 where there is none."""
-        keys = self.keys[level - 1]
-        wanted = parent * self.m + symbol
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted) & (parent >= 0) & (symbol >= 0), at, -1)
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """The next level; keeps as states those of the last level whose continuations diverge."""
-        level = len(self.keys)  # of the contexts
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        parent, last = keys // self.m, keys % self.m
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.suffix.append(last if level == 1 else self.find(level, self.suffix[level - 1][parent], last))
-        n = len(self.counts[level - 1])
-        uses = self.counts[level - 1]
-        shorter, there = self.shorter(level, np.arange(n))
-        below = 10.0 ** self.probability(shorter[parent], there[parent], last)
-        seen = np.bincount(parent, counts, n).astype(float)
-        left = np.maximum(0.0, uses - seen)
-        covered = np.minimum(1 - 1e-12, np.bincount(parent, below, n).astype(float))
-        divergence = np.bincount(parent, counts * np.log(counts / uses[parent] / below), n).astype(float)
-        divergence += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / np.maximum(uses, 1) / (1 - covered)), 0.0)
-        kinds = np.bincount(parent, minlength=n)
-        kept = (kinds > 0) & (divergence > 0.5 * (kinds + 1) * np.log(max(2, self.total)))
-        self.state.append(np.where(kept, level, shorter))
-        self.place.append(np.where(kept, np.arange(n), there))
-        weight = np.maximum(1e-12, (uses - seen + DISCOUNT * kinds) / np.maximum(uses, 1))
-        self.rest.append(np.log10(weight))
-        self.log_p.append(np.log10((counts - DISCOUNT) / uses[parent] + weight[parent] * below))
-
-    def shorter(self, level: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Longest retained proper suffix of contexts of one length."""
-        if level == 1:
-            return np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        s = self.suffix[level - 1][place]
-        return self.state[level - 2][s], self.place[level - 2][s]
-
-    def probability(self, length: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | state); symbol -1 stands for a rare word, its root probability left out."""
-        out, length, place = np.zeros(len(symbol)), length.copy(), place.copy()
-        for d in range(len(self.state), 0, -1):
-            own = np.flatnonzero(length == d)
-            if not len(own):
-                continue
-            at = self.find(d + 1, place[own], symbol[own])
-            hit = at >= 0
-            out[own[hit]] += self.log_p[d][at[hit]]
-            length[own[hit]] = -1
-            miss = own[~hit]
-            out[miss] += self.rest[d - 1][place[miss]]
-            length[miss], place[miss] = self.shorter(d, place[miss])
-        root = np.flatnonzero((length == 0) & (symbol >= 0))
-        out[root] += self.root[symbol[root]]
-        return out
+def small(n: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
 
-    def contexts(self, symbol: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For lengths 1, 2, ... the place of the sequence that ends just before each position, -1 where there is none."""
-        before = np.concatenate([[-1], symbol[:-1]]) if len(symbol) else symbol
-        before = np.where(first, -1, before)
-        out, here = [before], symbol
-        for d in range(2, depth + 1):
-            here = self.find(d, out[-1], symbol)  # sequences that end at each position
-            out.append(np.where(first, -1, np.concatenate([[-1], here[:-1]])))
-        return out
+
+def extended(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of sequences that are one word longer."""
+    h = before * _FACTOR + word
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, place of each key among them)."""
+    code, found = pd.factorize(keys)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[code]
 
 
-def _streams(batches, symbols: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each text as numbers of frequent words (-1: rare), and the hashes of its rare words."""
-    uid = TaskContext.get().partitionId() << 40
-    end = int(np.searchsorted(symbols, END_HASH))
+class Chunk:
+    """Some texts as word numbers, with all that is known so far of the sequences that end at each place.
+
+    counts[d] is how often the sequence of d words that ends at each place occurs in all training texts (0 if
+    fewer than LEAST times, for d > 1), rest[d] the weight that a state of d words leaves to its suffix (0: no state).
+    owned[d] are the places of the sequences of d words whose contribution to their context this chunk adds.
+    """
+
+    def __init__(self, doc_id, held_out, per, order, h, word):
+        self.doc_id, self.held_out, self.per = doc_id, held_out, per
+        self.order, self.h, self.word = order, h, word
+        self.counts: dict[int, np.ndarray] = {}
+        self.rest: dict[int, np.ndarray] = {}
+        self.owned: dict[int, np.ndarray] = {}
+
+    def opened(self) -> Chunk:
+        """With what is worked out anew in every step: sequences' hashes, words' counts at each place."""
+        self.number = self.order[self.word]
+        self.first = np.zeros(len(self.word), bool)
+        self.first[(np.cumsum(self.per) - self.per)] = True
+        self.keys = {1: self.h[self.number]}
+        return self
+
+    def key(self, d: int) -> np.ndarray:
+        if d not in self.keys:
+            self.keys[d] = extended(np.concatenate([np.zeros(1, np.uint64), self.key(d - 1)[:-1]]), self.keys[1])
+        return self.keys[d]
+
+    def count(self, d: int) -> np.ndarray:
+        return self.counts[1][self.number] if d == 1 else self.counts[d]
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """At each place the value of the place before; 0 at a text's first."""
+        out = np.concatenate([values[:1], values[:-1]])
+        out[self.first] = 0
+        return out
+
+    def sequences(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, sorted distinct hashes, number of each place) of the sequences of d words worth counting."""
+        n = self.count(d - 1)
+        at = np.flatnonzero((n >= LEAST) & (self.before(n) >= LEAST))
+        return at, *grouped(self.key(d)[at])
+
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, sorted distinct hashes, number of each place) of contexts of d words, by the place of the word after them."""
+        at = np.flatnonzero(self.before(self.count(d)) >= LEAST)
+        return at, *grouped(self.key(d)[at - 1])
+
+    def probability(self, depth: int, scale: float) -> np.ndarray:
+        """P(word | longest state of up to `depth` words) at each place."""
+        p = (self.count(1) + 0.5) / scale
+        for d in range(1, depth + 1):
+            r = self.before(self.rest[d] if d > 1 else self.rest[1][self.number])
+            at = np.flatnonzero(r)
+            n = self.counts[d + 1][at].astype(float)
+            p[at] = np.where(n > 0, n - DISCOUNT, 0) / self.count(d)[at - 1] + r[at] * p[at]
+        return p
+
+    def asks(self, step: tuple[str, int], scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(sorted distinct hashes, columns that go with them)."""
+        kind, d = step
+        train = ~np.repeat(self.held_out, self.per)
+        if kind == "count":
+            if d == 1:
+                return self.h, [small(np.bincount(self.number[train], minlength=len(self.h)))]
+            at, keys, code = self.sequences(d)
+            return keys, [small(np.bincount(code[train[at]], minlength=len(keys)))]
+        at, keys, code = self.contexts(d)
+        place = np.full(len(self.word), -1)
+        place[at] = code
+        own = self.owned[d + 1]
+        c, n, uses = place[own], self.counts[d + 1][own].astype(float), self.count(d)[own - 1]
+        below = self.probability(d - 1, scale)[own]
+        used = np.zeros(len(keys), np.int64)
+        used[c] = uses
+        sums = [np.bincount(c, x, len(keys)) for x in (n, below, n * np.log(n / uses / below))]
+        return keys, [small(np.bincount(c, minlength=len(keys))), small(used), *sums]
+
+    def hears(self, step: tuple[str, int], answer: np.ndarray) -> None:
+        kind, d = step
+        if kind == "count":
+            n, mine = answer >> 1, answer & 1
+            if d == 1:
+                self.counts[1] = small(n)
+                return
+            n[n < LEAST] = 0
+            at, keys, code = self.sequences(d)
+            out = np.zeros(len(self.word), n.dtype)
+            out[at] = n[code]
+            first = np.full(len(keys), len(self.word))
+            first[code[::-1]] = at[::-1]
+            self.counts[d], self.owned[d] = small(out), np.sort(first[(mine > 0) & (n > 0)]).astype(np.int32)
+        elif d == 1:
+            at, _, code = self.contexts(1)
+            self.rest[1] = np.zeros(len(self.h), np.float32)
+            self.rest[1][self.number[at - 1]] = answer[code]
+        else:
+            at, _, code = self.contexts(d)
+            self.rest[d] = np.zeros(len(self.word), np.float32)
+            self.rest[d][at - 1] = answer[code]
+
+    def closed(self) -> bytes:
+        for name in ("number", "first", "keys"):
+            self.__dict__.pop(name, None)
+        return packed(self)
+
+
+def _chunks(batches) -> Iterator[pa.RecordBatch]:
+    uid = TaskContext.get().partitionId() << 32
     for part in slices(batches):
-        h, number, per = _tokens(part)
-        at = np.minimum(np.searchsorted(symbols, h), max(0, len(symbols) - 1))
-        place = np.where(symbols[at] == h, at, -1) if len(symbols) else np.full(len(h), -1)
-        word = place[number]
-        ends = np.cumsum(per + 1)
-        stream = np.full(int(ends[-1]), end if len(symbols) and end < len(symbols) and symbols[end] == END_HASH else -1, np.int32)
-        body = np.ones(len(stream), bool)
-        body[ends - 1] = False
-        stream[body] = word
-        rare = word < 0
-        per_rare = np.bincount(np.repeat(np.arange(len(per)), per)[rare], minlength=len(per))
-        data = stream.tobytes()
-        blobs = [data[4 * a : 4 * b] for a, b in zip((ends - per - 1).tolist(), ends.tolist())]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_rare)]).astype(np.int32)), pa.array(h[number[rare]]))
-        yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(per))), part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(blobs, pa.binary()), lists], ["uid", "doc_id", "held_out", "stream", "rare"])
-        uid += len(per)
-
-
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of all texts, whether each is a text's first, offsets)."""
-    raw, off = flat(batch.column("stream"))
-    symbol, off = np.frombuffer(raw.tobytes(), np.int32).astype(np.int64), off // 4
-    first = np.zeros(len(symbol), bool)
-    first[off[:-1][off[:-1] < len(symbol)]] = True
-    return symbol, first, off
-
-
-def _count_next(batches, tree: Tree, level: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "stream", COUNT_BYTES):
-        symbol, first, _ = _unpacked(batch)
-        context = tree.contexts(symbol, first, level)[level - 1]
-        own = (context >= 0) & (symbol >= 0)
-        key, n = np.unique(context[own] * tree.m + symbol[own], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
-
-
-def _score(batches, tree: Tree) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "stream", SCORE_BYTES):
-        symbol, first, off = _unpacked(batch)
-        length, place = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
-        for d, context in enumerate(tree.contexts(symbol, first, len(tree.state)) if tree.state else [], 1):
-            have = np.flatnonzero(context >= 0)
-            length[have], place[have] = tree.state[d - 1][context[have]], tree.place[d - 1][context[have]]
-        known = symbol >= 0
-        base = np.zeros(len(symbol))
-        base[known] = tree.root[symbol[known]]
-        text = np.repeat(np.arange(batch.num_rows), np.diff(off))
-        sums = [np.bincount(text, x, batch.num_rows).astype(float) for x in (base, tree.probability(length, place, symbol))]
-        count = np.bincount(text, known, batch.num_rows).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(off)), pa.array(count), *map(pa.array, sums)], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
-
-
-def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
+        raw, off = flat(texts(part))
+        raw = lowered(raw)
+        starts, ends, per = words(raw, off)
+        found, number = distinct(raw, starts, ends)
+        h = np.append(hashes(found), END_HASH)
+        uses = np.append(np.bincount(number, minlength=len(found)), len(per))
+        last = np.cumsum(per + 1) - 1
+        word = np.full(int(last[-1]) + 1, len(found))
+        body = np.ones(len(word), bool)
+        body[last] = False
+        word[body] = number
+        by_hash, by_use = np.argsort(h), np.argsort(-uses)
+        rank, place = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        rank[by_use], place[by_hash] = np.arange(len(h)), np.arange(len(h))
+        doc_id = part.column("doc_id").cast(pa.int64()).to_pylist()
+        held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        chunk = Chunk(doc_id, held, per + 1, small(place[by_use]), h[by_hash], small(rank[word]))
+        yield pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([chunk.closed()], pa.binary())], ["chunk", "state"])
+        uid += 1
+
+
+def _ask(batches, steps: list[tuple[str, int]], bits: int, scale: float) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for uid, state in zip(batch.column("chunk").to_pylist(), batch.column("state")):
+            chunk = unpacked(state.as_buffer()).opened()
+            for kind, step in enumerate(steps):
+                keys, more = chunk.asks(step, scale)
+                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                cuts = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int64)
+                full = np.flatnonzero(np.diff(cuts))
+                own = [(int(kind << bits | b), uid, keys[a:z].tobytes(), press(pickle.dumps([x[a:z] for x in more], 5))) for b, a, z in zip(full, cuts[full], cuts[full + 1])]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own) if own else [()] * 4, kinds)], ["bucket", "chunk", "keys", "more"])
+
+
+def _answer(asked: pa.Table, steps: list[tuple[str, int]], bits: int, total: int) -> pa.Table:
+    import zstandard
+
+    asked = asked.sort_by("chunk")
+    bucket = asked.column("bucket")[0].as_py()
+    kind = bucket >> bits
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked.column("keys")]
+    more = [unpacked(x.as_buffer()) for x in asked.column("more")]
+    size = [len(x) for x in keys]
+    found, code = grouped(np.concatenate(keys))
+    columns = [np.bincount(code, np.concatenate([m[k] for m in more]), len(found)) for k in range(len(more[0])) if steps[kind][0] == "count" or k != 1]
+    stats = [0, 0, 0]
+    if steps[kind][0] == "count":
+        n = columns[0].astype(np.int64)
+        first = np.full(len(found), len(code))
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        out = n[code] << 1
+        out[first] |= 1
+        stats = [int(n.sum()), int((n > 0).sum()), 0]
+    else:
+        kinds, seen, covered, divergence = columns
+        uses = np.zeros(len(found))
+        np.maximum.at(uses, code, np.concatenate([m[1] for m in more]))
+        left = np.maximum(0.0, uses - seen)
+        covered = np.minimum(1 - 1e-12, covered)
+        divergence += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / np.maximum(uses, 1) / (1 - covered)), 0.0)
+        kept = (kinds > 0) & (divergence > 0.5 * (kinds + 1) * np.log(max(2, total)))
+        rest = np.where(kept, np.maximum(1e-12, (uses - seen + DISCOUNT * kinds) / np.maximum(uses, 1)), 0)
+        out, stats = rest.astype(np.float32)[code], [0, 0, int(kept.sum())]
+    ends = np.cumsum(size)
+    press = zstandard.ZstdCompressor(level=1).compress
+    answers = [press(pickle.dumps(small(x) if x.dtype == np.int64 else x, 5)) for x in np.split(out, ends[:-1])]
+    own = [[x if i == 0 else 0 for i in range(len(size))] for x in stats]  # said once
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    rows = [asked.column("chunk").combine_chunks(), [kind] * len(size), [bucket] * len(size), answers, *own]
+    return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds)], [x.split()[0] for x in ANSWER.split(", ")])
+
+
+def _hear(chunks: pa.Table, answers: pa.Table, steps: list[tuple[str, int]]) -> pa.Table:
+    answers, states = answers.sort_by("bucket"), []
+    for state in chunks.column("state"):
+        chunk = unpacked(state.as_buffer()).opened()
+        heard = {}
+        for kind in range(len(steps)):
+            own = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+            heard[kind] = [unpacked(x.as_buffer()) for x in own.column("answer")]
+        for kind, step in enumerate(steps):
+            empty = np.zeros(0, np.int64 if step[0] == "count" else np.float32)
+            said = np.concatenate(heard[kind]) if heard[kind] else empty
+            chunk.hears(step, said.astype(np.int64) if step[0] == "count" else said)
+        states.append(chunk.closed())
+    return pa.table([chunks.column("chunk"), pa.array(states, pa.binary())], ["chunk", "state"])
+
+
+def _score(batches, scale: float, depth: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for state in batch.column("state"):
+            chunk = unpacked(state.as_buffer()).opened()
+            text = np.repeat(np.arange(len(chunk.per)), chunk.per)
+            n = chunk.count(1)
+            sums = [np.bincount(text, np.log10(x), len(chunk.per)) for x in ((n + 0.5) / scale, chunk.probability(depth, scale))]
+            known = np.bincount(text, n > 0, len(chunk.per)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.doc_id, pa.int64()), pa.array(chunk.held_out), pa.array(chunk.per.astype(np.int64)), pa.array(known), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def rounds(depth: int) -> list[list[tuple[str, int]]]:
+    """What is asked together: sequences of d words, and contexts once their continuations are counted."""
+    counts = [("count", d) for d in range(1, depth + 2)]
+    contexts = [("context", d) for d in range(1, depth + 1)]
+    return [[x for x in (counts[i : i + 1] + contexts[i - 2 : i - 1] * (i >= 2))] for i in range(depth + 2)]
+
+
+def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, sizes: list | None = None) -> DataFrame:
     """Learn from documents for which held_out is false, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty: its one token is the end. Null and repeated ids stay rows; other columns
-    are not read. Without training documents all words are unknown. Probabilities of the rare words
-    (fewer than LEAST uses) come by a join on the word; all others from the tree.
+    are not read. Without training documents all words are unknown. An empty table gives no rows. `sizes`
+    gets, for each round, the number of distinct sequences that training texts hold and of states.
     """
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    vocabulary = materialize(docs.where("not held_out").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
-    size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = vocabulary.where(F.col("n") >= LEAST).toArrow().sort_by("h")
-    tree = Tree(frequent["h"].to_numpy(), frequent["n"].to_numpy(), size.n, size.v)
-    streams = materialize(docs.mapInArrow(lambda b: _streams(b, tree.symbols), "uid long, doc_id long, held_out boolean, stream binary, rare array<long>"), "streams")
     spark = docs.sparkSession
-    for level in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(tree)
-        counts = streams.where("not held_out").select("stream").mapInArrow(lambda b: _count_next(b, shared.value, level), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toArrow()  # noqa: B023
-        tree.add(counts["k"].to_numpy(), counts["n"].to_numpy())
-        shared.unpersist()
-    shared = spark.sparkContext.broadcast(tree)
-    scored = streams.select("uid", "doc_id", "held_out", "stream").mapInArrow(lambda b: _score(b, shared.value), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
-    uses = streams.select("uid", F.explode("rare").alias("h"))
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.scale))
-    rare = uses.join(vocabulary.where(F.col("n") < LEAST), "h", "left").groupBy("uid").agg(F.sum(log_p).alias("rare"), F.count_if(F.col("n") > 0).alias("rare_known"))
-    zero = F.lit(0.0)
-    return scored.join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(size.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare", zero)).alias("base_score"), (F.col("own") + F.coalesce("rare", zero)).alias("score")
-    )
+    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = materialize(docs.mapInArrow(_chunks, CHUNK), "chunks")
+    bits, total, scale = (4 * partitions).bit_length(), 0, 1.0
+    for steps in rounds(depth):
+        asked = chunks.mapInArrow(lambda b: _ask(b, steps, bits, scale), ASKED)  # noqa: B023
+        answers = materialize(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, steps, bits, total), ANSWER), "answers")  # noqa: B023
+        stats = answers.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("states").alias("states")).collect()
+        if steps == [("count", 1)]:
+            total, different = (stats[0].total, stats[0].distinct) if stats else (0, 0)
+            scale = total + 0.5 * (different + 1)
+            bits = max(bits, (total // BUCKET_TOKENS).bit_length())
+        if sizes is not None:
+            sizes += [(*steps[r.kind], r.distinct, r.states) for r in stats]
+        heard = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _hear(a, b, steps), CHUNK)  # noqa: B023
+        before, chunks = chunks, materialize(heard, "chunks")
+        discard(before, answers)
+    scored = chunks.mapInArrow(lambda b: _score(b, scale, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,16 +266,65 @@ def test_suffix_tree(odd):
     assert len(rows) == len(ROWS) and all(r.score <= 0 and r.n_known <= r.n_tokens for r in rows)
 
 
-def test_suffix_tree_is_a_distribution():
-    """Next-symbol probabilities and that of a word outside the tree add up to one in every state."""
-    counts = np.array([50, 30, 20])
-    tree = suffix_tree.Tree(np.array([1, 2, 3]), counts, 100, 3)
-    tree.add(np.array([0 * 3 + 1, 1 * 3 + 0, 1 * 3 + 2]), np.array([28, 10, 15]))
-    assert (tree.state[0] == 1).any()
-    for length, place in [(0, 0), *[(1, i) for i in range(3) if tree.state[0][i] == 1]]:
-        known = sum(10 ** tree.probability(np.array([length]), np.array([place]), np.array([w]))[0] for w in range(3))
-        unknown = 10 ** tree.probability(np.array([length]), np.array([place]), np.array([-1]))[0] * 0.5 / tree.scale
-        assert np.isclose(known + unknown, 1)
+class PlainTree:
+    """The same model in dictionaries."""
+
+    def __init__(self, texts, depth=suffix_tree.DEPTH, least=suffix_tree.LEAST, discount=suffix_tree.DISCOUNT):
+        runs = [Counter(tuple(t[i - d : i]) for t in texts for i in range(d, len(t) + 1)) for d in range(depth + 2)]
+        self.words, self.total = runs[1], sum(runs[1].values())
+        self.scale = self.total + 0.5 * (len(self.words) + 1)
+        self.states, self.after = {}, {}
+        for d in range(1, depth + 1):
+            follow = {}
+            for g, n in runs[d + 1].items():
+                if n >= least:
+                    follow.setdefault(g[:-1], {})[g[-1]] = n
+            fresh = {}
+            for c, ws in follow.items():
+                uses, seen = runs[d][c], sum(ws.values())
+                below = {w: self.p(c[1:], w) for w in ws}
+                divergence = sum(n * np.log(n / uses / below[w]) for w, n in ws.items())
+                if uses > seen:
+                    divergence += (uses - seen) * np.log((uses - seen) / uses / (1 - sum(below.values())))
+                if divergence > 0.5 * (len(ws) + 1) * np.log(self.total):
+                    rest = (uses - seen + discount * len(ws)) / uses
+                    fresh[c] = (rest, {w: (n - discount) / uses for w, n in ws.items()})
+            self.states |= fresh
+
+    def p(self, context, word):
+        while context and context not in self.states:
+            context = context[1:]
+        if not context:
+            return (self.words[(word,)] + 0.5) / self.scale
+        rest, own = self.states[context]
+        return own.get(word, 0) + rest * self.p(context[1:], word)
+
+    def score(self, text, depth=suffix_tree.DEPTH):
+        return sum(np.log10(self.p(tuple(text[max(0, i - depth) : i]), w)) for i, w in enumerate(text))
+
+
+def test_suffix_tree_against_brute_force(spark):
+    rng, texts = np.random.default_rng(4), []
+    for _ in range(400):
+        t = ["a", "b"]
+        for _ in range(int(rng.integers(0, 40))):
+            old = int(t[-1], 36) * 5 + int(t[-2], 36) * 3
+            t.append(np.base_repr((old + int(rng.integers(3))) % 30, 36).lower() if rng.random() < 0.8 else np.base_repr(int(rng.integers(36)), 36).lower())
+        texts.append(t[: int(rng.integers(0, 43))])
+    docs = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    sizes = []
+    got = {r.doc_id: r for r in suffix_tree.score_texts(docs, F.col("doc_id") % 5 == 1, sizes=sizes).collect()}
+    ended = [[*t, "\n"] for t in texts]
+    plain = PlainTree([t for i, t in enumerate(ended) if i % 5 != 1])
+    assert {len(c) for c in plain.states} == {1, 2, 3}
+    assert sum(x[3] for x in sizes) == len(plain.states)
+    assert len(got) == len(texts)
+    for i, t in enumerate(ended):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i % 5 == 1, len(t), sum(plain.words[(w,)] > 0 for w in t), plain.total)
+        assert np.isclose(r.base_score, sum(np.log10(plain.p((), w)) for w in t)) and np.isclose(r.score, plain.score(t), rtol=1e-5)
+    for c in list(plain.states)[:40]:  # every state's distribution adds up to one, with a word outside the corpus
+        assert np.isclose(sum(plain.p(c, w) for (w,) in plain.words) + plain.p(c, "none"), 1)
 
 
 def test_suffix_tree_learns_from_few_uses_in_a_large_corpus(spark):
