@@ -11,34 +11,40 @@ texts. A bucket adds up and answers each chunk in the order that it asked in. Ro
 pairs; of longer sequences only those are asked for whose two parts are known from LEAST uses on, as no other can be.
 Contexts are asked for one round after their continuations are counted: the chunk that a bucket named as a
 continuation's owner adds what it contributes to the divergence. Everything that is dealt out is distinct within its
-chunk, so no word, pair or text weighs more in a bucket than it has chunks.
+chunk, so no word, pair or text weighs more in a bucket than it has chunks. What a chunk knows is kept in files in the
+shared folder, a file for each thing learned and a new name in every attempt of a task; tables name those that count.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import distinct, flat, id_crc, lowered, slices, table, texts, words
-from kindred.sources.scratch import discard, materialize
+from kindred.llm.token_files import filesystem
+from kindred.sources.scratch import discard, materialize, scratch_path
 
 DEPTH, DISCOUNT = 3, 0.5
 #: A context or continuation has a place in the tree from so many uses on.
 LEAST = 2
 #: No word holds white space, so this name of the end is free.
 END = b"\n"
+#: Text bytes of a chunk; a longer single text is one.
+CHUNK_BYTES = 3 << 20
 #: Tokens that a bucket is made for.
 BUCKET_TOKENS = 1 << 21
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Chunk rows between steps.
-CHUNK, ASKED = "chunk long, state binary", "bucket long, chunk long, keys binary, more binary"
+CHUNKS, ASKED = "chunk long, files string", "bucket long, chunk long, keys binary, more binary"
 ANSWER = "chunk long, kind int, bucket long, answer binary, total long, distinct long, states long"
 
 
@@ -49,16 +55,22 @@ def hashes(found: pa.Array) -> np.ndarray:
 END_HASH = hashes(pa.array([END]))[0]
 
 
-def packed(what) -> bytes:
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """One-dimensional arrays, compressed by planes of bytes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(what, 5))
+    planes = [(x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) for x in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes, 5))
 
 
-def unpacked(data: bytes):
+def unpacked(data) -> list[np.ndarray]:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    out = []
+    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
+        planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
 
 
 def small(n: np.ndarray) -> np.ndarray:
@@ -86,33 +98,51 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """Some texts as word numbers, with all that is known so far of the sequences that end at each place.
 
-    counts[d] is how often the sequence of d words that ends at each place occurs in all training texts (0 if
-    fewer than LEAST times, for d > 1), rest[d] the weight that a state of d words leaves to its suffix (0: no state).
-    owned[d] are the places of the sequences of d words whose contribution to their context this chunk adds.
+    count(d) is how often the sequence of d words that ends at each place occurs in all training texts (0 if
+    fewer than LEAST times, for d > 1), rest(d) the weight that a state of d words leaves to its suffix (0: no state),
+    owned(d) the places of the sequences of d words whose contribution to their context this chunk adds.
     """
 
-    def __init__(self, doc_id, held_out, per, order, h, word):
-        self.doc_id, self.held_out, self.per = doc_id, held_out, per
-        self.order, self.h, self.word = order, h, word
-        self.counts: dict[int, np.ndarray] = {}
-        self.rest: dict[int, np.ndarray] = {}
-        self.owned: dict[int, np.ndarray] = {}
+    def __init__(self, uid: int, root: str, files: dict[str, str]):
+        self.uid, self.root, self.files, self.parts = uid, root, dict(files), {}
+
+    def put(self, name: str, *arrays: np.ndarray) -> None:
+        fs, path = filesystem(f"{self.root}/{self.uid}-{name}-{uuid.uuid4().hex}")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            out.write(packed(list(arrays)))
+        self.files[name] = path.rsplit("/", 1)[1]
+
+    def part(self, name: str) -> list[np.ndarray]:
+        if name not in self.parts:
+            fs, path = filesystem(f"{self.root}/{self.files[name]}")
+            with fs.open_input_file(path) as f:
+                self.parts[name] = unpacked(f.read())
+        return self.parts[name]
 
     def opened(self) -> Chunk:
-        """With what is worked out anew in every step: sequences' hashes, words' counts at each place."""
-        self.number = self.order[self.word]
-        self.first = np.zeros(len(self.word), bool)
-        self.first[(np.cumsum(self.per) - self.per)] = True
+        self.per, self.held_out, order, self.h, word = self.part("words")
+        self.number = order[word]
+        self.first = np.zeros(len(word), bool)
+        self.first[np.cumsum(self.per) - self.per] = True
         self.keys = {1: self.h[self.number]}
         return self
 
+    def row(self) -> tuple[int, str]:
+        return self.uid, json.dumps(self.files)
+
     def key(self, d: int) -> np.ndarray:
         if d not in self.keys:
             self.keys[d] = extended(np.concatenate([np.zeros(1, np.uint64), self.key(d - 1)[:-1]]), self.keys[1])
         return self.keys[d]
 
     def count(self, d: int) -> np.ndarray:
-        return self.counts[1][self.number] if d == 1 else self.counts[d]
+        found = self.part(f"count{d}")[0]
+        return found[self.number] if d == 1 else found
+
+    def rest(self, d: int) -> np.ndarray:
+        found = self.part(f"rest{d}")[0]
+        return found[self.number] if d == 1 else found
 
     def before(self, values: np.ndarray) -> np.ndarray:
         """At each place the value of the place before; 0 at a text's first."""
@@ -135,64 +165,62 @@ class Chunk:
         """P(word | longest state of up to `depth` words) at each place."""
         p = (self.count(1) + 0.5) / scale
         for d in range(1, depth + 1):
-            r = self.before(self.rest[d] if d > 1 else self.rest[1][self.number])
+            r = self.before(self.rest(d))
             at = np.flatnonzero(r)
-            n = self.counts[d + 1][at].astype(float)
+            n = self.count(d + 1)[at].astype(float)
             p[at] = np.where(n > 0, n - DISCOUNT, 0) / self.count(d)[at - 1] + r[at] * p[at]
         return p
 
     def asks(self, step: tuple[str, int], scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """(sorted distinct hashes, columns that go with them)."""
         kind, d = step
-        train = ~np.repeat(self.held_out, self.per)
+        train = ~np.repeat(self.held_out.astype(bool), self.per)
         if kind == "count":
             if d == 1:
                 return self.h, [small(np.bincount(self.number[train], minlength=len(self.h)))]
             at, keys, code = self.sequences(d)
             return keys, [small(np.bincount(code[train[at]], minlength=len(keys)))]
         at, keys, code = self.contexts(d)
-        place = np.full(len(self.word), -1)
+        place = np.full(len(self.number), -1)
         place[at] = code
-        own = self.owned[d + 1]
-        c, n, uses = place[own], self.counts[d + 1][own].astype(float), self.count(d)[own - 1]
+        own = self.part(f"owned{d + 1}")[0]
+        c, n, uses = place[own], self.count(d + 1)[own].astype(float), self.count(d)[own - 1]
         below = self.probability(d - 1, scale)[own]
         used = np.zeros(len(keys), np.int64)
         used[c] = uses
-        sums = [np.bincount(c, x, len(keys)) for x in (n, below, n * np.log(n / uses / below))]
-        return keys, [small(np.bincount(c, minlength=len(keys))), small(used), *sums]
+        seen, covered, divergence = (np.bincount(c, x, len(keys)) for x in (n, below, n * np.log(n / uses / below)))
+        return keys, [small(np.bincount(c, minlength=len(keys))), small(used), small(seen.astype(np.int64)), covered.astype(np.float32), divergence.astype(np.float32)]
 
     def hears(self, step: tuple[str, int], answer: np.ndarray) -> None:
         kind, d = step
         if kind == "count":
             n, mine = answer >> 1, answer & 1
             if d == 1:
-                self.counts[1] = small(n)
+                self.put("count1", small(n))
                 return
             n[n < LEAST] = 0
             at, keys, code = self.sequences(d)
-            out = np.zeros(len(self.word), n.dtype)
+            out = np.zeros(len(self.number), n.dtype)
             out[at] = n[code]
-            first = np.full(len(keys), len(self.word))
+            first = np.full(len(keys), len(self.number))
             first[code[::-1]] = at[::-1]
-            self.counts[d], self.owned[d] = small(out), np.sort(first[(mine > 0) & (n > 0)]).astype(np.int32)
-        elif d == 1:
-            at, _, code = self.contexts(1)
-            self.rest[1] = np.zeros(len(self.h), np.float32)
-            self.rest[1][self.number[at - 1]] = answer[code]
-        else:
-            at, _, code = self.contexts(d)
-            self.rest[d] = np.zeros(len(self.word), np.float32)
-            self.rest[d][at - 1] = answer[code]
-
-    def closed(self) -> bytes:
-        for name in ("number", "first", "keys"):
-            self.__dict__.pop(name, None)
-        return packed(self)
-
-
-def _chunks(batches) -> Iterator[pa.RecordBatch]:
+            self.put(f"count{d}", small(out))
+            self.put(f"owned{d}", np.sort(first[(mine > 0) & (n > 0)]).astype(np.int32))
+            return
+        at, _, code = self.contexts(d)
+        out = np.zeros(len(self.h if d == 1 else self.number), np.float32)
+        out[self.number[at - 1] if d == 1 else at - 1] = answer[code]
+        self.put(f"rest{d}", out)
+
+
+def _rows(chunks: list[Chunk]) -> pa.RecordBatch:
+    uid, files = zip(*(x.row() for x in chunks)) if chunks else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(files, pa.string())], ["chunk", "files"])
+
+
+def _chunks(batches, root: str) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 32
-    for part in slices(batches):
+    for part in slices(batches, "text", CHUNK_BYTES):
         raw, off = flat(texts(part))
         raw = lowered(raw)
         starts, ends, per = words(raw, off)
@@ -207,33 +235,33 @@ def _chunks(batches) -> Iterator[pa.RecordBatch]:
         by_hash, by_use = np.argsort(h), np.argsort(-uses)
         rank, place = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         rank[by_use], place[by_hash] = np.arange(len(h)), np.arange(len(h))
-        doc_id = part.column("doc_id").cast(pa.int64()).to_pylist()
-        held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        chunk = Chunk(doc_id, held, per + 1, small(place[by_use]), h[by_hash], small(rank[word]))
-        yield pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([chunk.closed()], pa.binary())], ["chunk", "state"])
+        doc_id = part.column("doc_id").cast(pa.int64())
+        chunk = Chunk(uid, root, {})
+        chunk.put("ids", doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+        chunk.put("words", per + 1, part.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8), small(place[by_use]), h[by_hash], small(rank[word]))
+        yield _rows([chunk])
         uid += 1
 
 
-def _ask(batches, steps: list[tuple[str, int]], bits: int, scale: float) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=1).compress
+def _open(batches, root: str) -> Iterator[Chunk]:
     for batch in batches:
-        for uid, state in zip(batch.column("chunk").to_pylist(), batch.column("state")):
-            chunk = unpacked(state.as_buffer()).opened()
-            for kind, step in enumerate(steps):
-                keys, more = chunk.asks(step, scale)
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                cuts = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int64)
-                full = np.flatnonzero(np.diff(cuts))
-                own = [(int(kind << bits | b), uid, keys[a:z].tobytes(), press(pickle.dumps([x[a:z] for x in more], 5))) for b, a, z in zip(full, cuts[full], cuts[full + 1])]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own) if own else [()] * 4, kinds)], ["bucket", "chunk", "keys", "more"])
+        for uid, files in zip(batch.column("chunk").to_pylist(), batch.column("files").to_pylist()):
+            yield Chunk(uid, root, json.loads(files)).opened()
 
 
-def _answer(asked: pa.Table, steps: list[tuple[str, int]], bits: int, total: int) -> pa.Table:
-    import zstandard
+def _ask(batches, root: str, steps: list[tuple[str, int]], bits: int, scale: float) -> Iterator[pa.RecordBatch]:
+    for chunk in _open(batches, root):
+        for kind, step in enumerate(steps):
+            keys, more = chunk.asks(step, scale)
+            cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+            cuts = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int64)
+            full = np.flatnonzero(np.diff(cuts))
+            own = [(int(kind << bits | b), chunk.uid, keys[a:z].tobytes(), packed([x[a:z] for x in more])) for b, a, z in zip(full, cuts[full], cuts[full + 1])]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own) if own else [()] * 4, kinds)], ["bucket", "chunk", "keys", "more"])
+
 
+def _answer(asked: pa.Table, steps: list[tuple[str, int]], bits: int, total: int) -> pa.Table:
     asked = asked.sort_by("chunk")
     bucket = asked.column("bucket")[0].as_py()
     kind = bucket >> bits
@@ -261,46 +289,40 @@ def _answer(asked: pa.Table, steps: list[tuple[str, int]], bits: int, total: int
         rest = np.where(kept, np.maximum(1e-12, (uses - seen + DISCOUNT * kinds) / np.maximum(uses, 1)), 0)
         out, stats = rest.astype(np.float32)[code], [0, 0, int(kept.sum())]
     ends = np.cumsum(size)
-    press = zstandard.ZstdCompressor(level=1).compress
-    answers = [press(pickle.dumps(small(x) if x.dtype == np.int64 else x, 5)) for x in np.split(out, ends[:-1])]
+    answers = [packed([small(x) if x.dtype == np.int64 else x]) for x in np.split(out, ends[:-1])]
     own = [[x if i == 0 else 0 for i in range(len(size))] for x in stats]  # said once
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     rows = [asked.column("chunk").combine_chunks(), [kind] * len(size), [bucket] * len(size), answers, *own]
     return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds)], [x.split()[0] for x in ANSWER.split(", ")])
 
 
-def _hear(chunks: pa.Table, answers: pa.Table, steps: list[tuple[str, int]]) -> pa.Table:
-    answers, states = answers.sort_by("bucket"), []
-    for state in chunks.column("state"):
-        chunk = unpacked(state.as_buffer()).opened()
-        heard = {}
-        for kind in range(len(steps)):
-            own = answers.filter(pa.compute.equal(answers.column("kind"), kind))
-            heard[kind] = [unpacked(x.as_buffer()) for x in own.column("answer")]
+def _hear(chunks: pa.Table, answers: pa.Table, root: str, steps: list[tuple[str, int]]) -> pa.Table:
+    answers, done = answers.sort_by("bucket"), []
+    for chunk in _open(chunks.to_batches(), root):
         for kind, step in enumerate(steps):
-            empty = np.zeros(0, np.int64 if step[0] == "count" else np.float32)
-            said = np.concatenate(heard[kind]) if heard[kind] else empty
-            chunk.hears(step, said.astype(np.int64) if step[0] == "count" else said)
-        states.append(chunk.closed())
-    return pa.table([chunks.column("chunk"), pa.array(states, pa.binary())], ["chunk", "state"])
+            own = answers.filter(pc.equal(answers.column("kind"), kind))
+            said = [unpacked(x.as_buffer())[0] for x in own.column("answer")]
+            said = np.concatenate(said) if said else np.zeros(0)
+            chunk.hears(step, said.astype(np.int64 if step[0] == "count" else np.float32))
+        done.append(chunk)
+    return pa.Table.from_batches([_rows(done)])
 
 
-def _score(batches, scale: float, depth: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for state in batch.column("state"):
-            chunk = unpacked(state.as_buffer()).opened()
-            text = np.repeat(np.arange(len(chunk.per)), chunk.per)
-            n = chunk.count(1)
-            sums = [np.bincount(text, np.log10(x), len(chunk.per)) for x in ((n + 0.5) / scale, chunk.probability(depth, scale))]
-            known = np.bincount(text, n > 0, len(chunk.per)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.doc_id, pa.int64()), pa.array(chunk.held_out), pa.array(chunk.per.astype(np.int64)), pa.array(known), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _score(batches, root: str, scale: float, depth: int) -> Iterator[pa.RecordBatch]:
+    for chunk in _open(batches, root):
+        doc_id, none = chunk.part("ids")
+        text = np.repeat(np.arange(len(chunk.per)), chunk.per)
+        n = chunk.count(1)
+        sums = [np.bincount(text, np.log10(x), len(chunk.per)) for x in ((n + 0.5) / scale, chunk.probability(depth, scale))]
+        known = np.bincount(text, n > 0, len(chunk.per)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=none.astype(bool)), pa.array(chunk.held_out.astype(bool)), pa.array(chunk.per.astype(np.int64)), pa.array(known), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def rounds(depth: int) -> list[list[tuple[str, int]]]:
     """What is asked together: sequences of d words, and contexts once their continuations are counted."""
     counts = [("count", d) for d in range(1, depth + 2)]
     contexts = [("context", d) for d in range(1, depth + 1)]
-    return [[x for x in (counts[i : i + 1] + contexts[i - 2 : i - 1] * (i >= 2))] for i in range(depth + 2)]
+    return [counts[i : i + 1] + (contexts[i - 2 : i - 1] if i >= 2 else []) for i in range(depth + 2)]
 
 
 def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, sizes: list | None = None) -> DataFrame:
@@ -312,11 +334,12 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, sizes: list | Non
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = materialize(docs.mapInArrow(_chunks, CHUNK), "chunks")
-    bits, total, scale = (4 * partitions).bit_length(), 0, 1.0
+    root = scratch_path(spark, "chunks")
+    chunks = materialize(docs.mapInArrow(lambda b: _chunks(b, root), CHUNKS), "chunks")
+    wide = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits, total, scale, tasks = wide.bit_length(), 0, 1.0, max(1, min(wide, chunks.count()))  # the table of chunks is small, what they stand for is not
     for steps in rounds(depth):
-        asked = chunks.mapInArrow(lambda b: _ask(b, steps, bits, scale), ASKED)  # noqa: B023
+        asked = chunks.repartition(tasks, "chunk").mapInArrow(lambda b: _ask(b, root, steps, bits, scale), ASKED)  # noqa: B023
         answers = materialize(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, steps, bits, total), ANSWER), "answers")  # noqa: B023
         stats = answers.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("states").alias("states")).collect()
         if steps == [("count", 1)]:
@@ -325,10 +348,10 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, sizes: list | Non
             bits = max(bits, (total // BUCKET_TOKENS).bit_length())
         if sizes is not None:
             sizes += [(*steps[r.kind], r.distinct, r.states) for r in stats]
-        heard = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _hear(a, b, steps), CHUNK)  # noqa: B023
+        heard = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _hear(a, b, root, steps), CHUNKS)  # noqa: B023
         before, chunks = chunks, materialize(heard, "chunks")
         discard(before, answers)
-    scored = chunks.mapInArrow(lambda b: _score(b, scale, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = chunks.repartition(tasks, "chunk").mapInArrow(lambda b: _score(b, root, scale, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
