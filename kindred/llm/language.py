@@ -1,5 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
+Words longer than LONGEST_WORD bytes (LONGEST_LEARNED where pieces are learned) are cut between letters,
+and segmentations are summed within each part: so scripts without spaces are learned from like others.
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 probability in a language is the sum over all ways to cut it into pieces (a forward pass); a
 text's is the product over its words. Pieces never cross white space, so each
@@ -23,6 +25,12 @@ from kindred.sources.scratch import materialize
 #: About this many labelled documents of each language are learned from, chosen by id hash.
 SAMPLE_DOCS = 2000
 ROUNDS, LONGEST = 3, 16
+#: Bytes of a word that pieces are learned from, and that is scored, at once.
+LONGEST_LEARNED, LONGEST_WORD = 31, 1024
+#: Before a part that is not a word's first; no word holds it.
+GOES_ON = b"\n"
+#: Bytes of the words that one step has a lattice for.
+LATTICE_BYTES = 1 << 18
 #: Share of every language's probability spread over all pieces alike.
 FLOOR = 1e-4
 #: Distinct words whose scores a Python worker remembers.
@@ -103,30 +111,60 @@ def expected(lattice: list[np.ndarray], p: np.ndarray, counts: np.ndarray, out:
 
 
 def by_length(found: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, byte matrix) of the words of each length, a space before every word."""
+    """(rows, byte matrix) of the words of each length, a space before every word that is not the rest of one."""
     raw, off = flat(found)
     length = np.diff(off)
+    later = np.zeros(len(length), bool)
+    later[length > 0] = raw[off[:-1][length > 0]] == GOES_ON[0]
     for n in np.unique(length):
-        rows = np.flatnonzero(length == n)
-        for at in range(0, len(rows), 1 << 15):
-            part = rows[at : at + (1 << 15)]
-            codes = np.full((len(part), n + 1), 32, np.uint8)
-            codes[:, 1:] = raw[off[part][:, None] + np.arange(n)]
-            yield part, codes
+        for rest in (False, True):
+            rows = np.flatnonzero((length == n) & (later == rest))
+            step = max(1, LATTICE_BYTES // (int(n) + 1))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                codes = np.full((len(part), n + 1), 32, np.uint8)
+                codes[:, 1:] = raw[off[part][:, None] + np.arange(n)]
+                yield part, codes[:, 2:] if rest else codes
+
+
+def cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, word) of the rests of words over `limit` bytes, cut between letters; shortens those words' ends."""
+    first, last, word = [], [], []
+    for i in np.flatnonzero(ends - starts > limit).tolist():
+        at, end = int(starts[i]), int(ends[i])
+        ends[i] = 0
+        while at < end:
+            to = min(end, at + limit)
+            while to < end and to > at + 1 and raw[to] & 0xC0 == 0x80:  # within a letter
+                to -= 1
+            if ends[i]:
+                first.append(at)
+                last.append(to)
+                word.append(i)
+            else:
+                ends[i] = to
+            at = to
+    return np.array(first, np.int64), np.array(last, np.int64), np.array(word, np.int64)
 
 
-def tokens_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, number of each word, text of each word) of a slice."""
+def tokens_of(batch: pa.RecordBatch, limit: int = LONGEST_WORD) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words and rests of words, number of each in the texts, text of each) of a slice."""
     raw, off = flat(texts(batch))
     raw = lowered(raw)
     starts, ends, per = words(raw, off)
+    text = np.repeat(np.arange(len(per)), per)
+    rest_starts, rest_ends, word = cut(raw, starts, ends, limit)
     found, number = distinct(raw, starts, ends)
-    return found, number, np.repeat(np.arange(len(per)), per)
+    if len(word):
+        rests, rest = distinct(raw, rest_starts, rest_ends)
+        number, text = np.concatenate([number, rest + len(found)]), np.concatenate([text, text[word]])
+        found = pa.concat_arrays([found.cast(pa.binary()), pa.array([GOES_ON + x for x in rests.to_pylist()], pa.binary())])
+    return found, number, text
 
 
 def _word_counts(batches) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        found, number, text = tokens_of(part)
+        found, number, text = tokens_of(part, LONGEST_LEARNED)
         lang = part.column("lang").dictionary_encode()
         key, n = np.unique(lang.indices.to_numpy()[text].astype(np.int64) * max(1, len(found)) + number, return_counts=True)
         yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(key // max(1, len(found)))).cast(pa.string()), found.take(pa.array(key % max(1, len(found)))).cast(pa.binary()), pa.array(n.astype(np.int64))], ["lang", "word", "n"])
@@ -147,8 +185,6 @@ def _expected(batches, path: str, langs: list[str], p: np.ndarray) -> Iterator[p
         lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
         count = batch.column("n").to_numpy().astype(float)
         for rows, codes in by_length(batch.column("word")):
-            if codes.shape[1] > 32:  # such words are scored, not learned from
-                continue
             for k in np.unique(lang[rows]):
                 mine = lang[rows] == k
                 expected(own.lattice(codes[mine]), p[:, k], count[rows[mine]], total[k])
@@ -237,13 +273,13 @@ def judged(part: pa.RecordBatch, model: Model, key: str) -> tuple[pa.Array, pa.A
     return pa.array(pred, pa.string()), pa.array(score)
 
 
-def _predict(batches, model: Model, key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches, model: Model, key: str, columns: list[str], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *judged(part, model, key)], [*columns, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *judged(part, model, key)], [*columns, *names])
 
 
-def with_language(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns (of which text may be none), lang_pred and score of every document; only its text is looked at.
+def with_language(docs: DataFrame, model: Model, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns (of which text may be none), lang_pred and score (under `names`) of every document; only its text is looked at.
 
     A null text or one without a letter is `und` with score 0, and so is everything if no
     document was labelled. Of equally probable languages the first by name wins. Rows with
@@ -254,7 +290,7 @@ def with_language(docs: DataFrame, model: Model, columns: list[str]) -> DataFram
     key = uuid.uuid4().hex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in columns for f in docs.schema.fields if f.name == c)
     read = docs.select(*columns, *(["text"] if "text" not in columns else []))
-    return read.mapInArrow(lambda b: _predict(b, model, key, columns), f"{schema}, lang_pred string, score double")
+    return read.mapInArrow(lambda b: _predict(b, model, key, columns, names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
