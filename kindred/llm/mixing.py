@@ -17,19 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import table
+from kindred.llm.common import helper, table
 from kindred.sources.scratch import materialize
 
 BLOCK_DOCS = 16
-#: Weights of sources; any other source has DEFAULT_WEIGHT. Whole numbers.
-WEIGHTS: dict[str, int] = {}
-DEFAULT_WEIGHT = 1
+#: Weight of the largest source; the others' follow the square roots of their numbers of documents, so small sources count for more than their share.
+MOST = 16
+#: A source's documents that one bucket of hashes is made for.
+BUCKET_DOCS = 1 << 13
+
+
+def target_weights(counts: dict) -> dict:
+    """Whole numbers from 1 to MOST, in proportion to the square roots of counts."""
+    top = max(counts.values(), default=1)
+    return {s: max(1, round(MOST * (n / top) ** 0.5)) for s, n in counts.items()}
 
 
 def period(weights: dict) -> dict:
     """Slots of each source's blocks in the first sum(weights) slots, after which all repeats (every source has its exact share then)."""
     total, slots, ready = sum(weights.values()), {s: [] for s in weights}, []
-    waiting = [(0, i, s, 0) for i, s in enumerate(sorted(weights, key=str))]
+    waiting = [(0, i, s, 0) for i, s in enumerate(sorted(weights, key=lambda s: (s is None, str(s))))]
     heapq.heapify(waiting)
     for now in range(total):
         while waiting and waiting[0][0] <= now:
@@ -85,11 +92,11 @@ def schedule(blocks: dict, weights: dict) -> dict[object, Lane]:
     return lanes
 
 
-def _slots(batches, lanes: dict, counts: dict, block: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _slots(batches, lanes: dict, counts: dict, block: int, columns: list[str], p: str) -> Iterator[pa.RecordBatch]:
     short = sorted((int(lanes[s].slot(np.array([-(-n // block) - 1]))[0]), -n % block) for s, n in counts.items() if n % block)
     at, missing = np.array([a for a, _ in short], np.int64), np.concatenate([[0], np.cumsum([m for _, m in short])]).astype(np.int64)
     for batch in batches:
-        source, rank = batch.column("_source").to_pylist(), batch.column("_rank").to_numpy(zero_copy_only=False)
+        source, rank = batch.column(f"{p}source").to_pylist(), batch.column(f"{p}rank").to_numpy(zero_copy_only=False)
         number, slot = rank // block, np.empty(len(rank), np.int64)
         by: dict = {}
         for i, s in enumerate(source):
@@ -100,9 +107,12 @@ def _slots(batches, lanes: dict, counts: dict, block: int, columns: list[str]) -
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(number), pa.array(slot), pa.array(position)], [*columns, "block", "slot", "position"])
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK_DOCS, keep: list[str] | None = None) -> DataFrame:
     """All rows of docs with block (of the source), slot and position (from 0, gapless) in the mix.
 
+    Without weights, target_weights() of the numbers of documents; with them, a source that has none has 1. Of docs'
+    columns those in `keep` are returned (all, if not given); texts not among them are hashed where they are read.
+
     A source's documents come in the order of a hash of id and text (then id). Documents without
     a source form one of their own. Rank in a source is counted per bucket of hashes and summed over
     buckets, so the largest source is spread like any other. Columns of docs named block, slot or position are
@@ -110,22 +120,23 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     """
     from pyspark.sql import Window
 
-    weights = WEIGHTS if weights is None else weights
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("block", "slot", "position")]
-    bits = max(3, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("block", "slot", "position")]
+    bits = max(3, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length(), (docs.count() // BUCKET_DOCS).bit_length())
+    p = helper(docs.columns)
     source = F.struct("source")  # so that null is a group like others
-    keyed = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_h")).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
+    keyed = docs.select(*dict.fromkeys([*columns, "doc_id", "source"]), F.xxhash64("doc_id", "text").alias(f"{p}h")).withColumn(f"{p}b", F.shiftrightunsigned(f"{p}h", 64 - bits))
     # only the key columns are read for these counts
-    counted = materialize(keyed.groupBy("source", "_b").agg(F.count("*").alias("n")), "counts")
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select(F.col("source").alias("_s"), F.col("_b").alias("_bb"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    counted = materialize(keyed.groupBy("source", f"{p}b").agg(F.count("*").alias("n")), "counts")
+    before = Window.partitionBy("source").orderBy(f"{p}b").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select(F.col("source").alias(f"{p}s"), F.col(f"{p}b").alias(f"{p}bb"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{p}base"))
     counts = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    lanes = schedule({s: -(-n // block) for s, n in counts.items()}, {s: max(1, int(weights.get(s, DEFAULT_WEIGHT))) for s in counts})
-    local = F.row_number().over(Window.partitionBy(source, "_b").orderBy("_h", "doc_id")) - 1
-    ranked = keyed.withColumn("_local", local).join(base, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["_b"] == F.col("_bb"))).withColumn("_rank", F.col("_local") + F.col("_base")).withColumn("_source", F.col("source"))
+    given = target_weights(counts) if weights is None else {s: max(1, int(weights.get(s, 1))) for s in counts}
+    lanes = schedule({s: -(-n // block) for s, n in counts.items()}, given)
+    local = F.row_number().over(Window.partitionBy(source, f"{p}b").orderBy(f"{p}h", "doc_id")) - 1
+    ranked = keyed.withColumn(f"{p}local", local).join(base, keyed["source"].eqNullSafe(F.col(f"{p}s")) & (keyed[f"{p}b"] == F.col(f"{p}bb"))).withColumn(f"{p}rank", F.col(f"{p}local") + F.col(f"{p}base")).withColumn(f"{p}source", F.col("source"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
-    return ranked.select(*columns, "_source", "_rank").mapInArrow(lambda b: _slots(b, lanes, counts, block, columns), f"{schema}, block long, slot long, position long")
+    return ranked.select(*columns, f"{p}source", f"{p}rank").mapInArrow(lambda b: _slots(b, lanes, counts, block, columns, p), f"{schema}, block long, slot long, position long")
 
 
 def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK_DOCS, position: bool = False) -> DataFrame:
@@ -138,4 +149,4 @@ def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "source", "block", "slot", "position")
+    return mix(docs, keep=["doc_id", "source"]).select("doc_id", "source", "block", "slot", "position")
