@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -79,20 +81,21 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+#: Gaps in a disguise have up to three characters, names and labels as many as addresses allow, so every pattern takes time in proportion to the text.
 _BETWEEN = r"[\s,/_()-]{1,3}"
-_DOT_BETWEEN = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|[\s_-]+(?:dot|punkt|point|punto)[\s_-]+|\s*\.\s*)"
-_SPOKEN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*))?(?:(?:double|triple)\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:{_DOT_BETWEEN}|{_BETWEEN})(?:(?:double|triple)\s+)?(?:{_DIGIT_WORD}|[0-9]+))+(?!\w)", re.I)
+_DOT_BETWEEN = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|[\s_-]{1,3}(?:dot|punkt|point|punto)[\s_-]{1,3}|\s{0,3}\.\s{0,3})"
+_SPOKEN = re.compile(rf"(?<!\w)(?:(?:plus\s{{1,3}}|\+\s{{0,3}}))?(?:(?:double|triple)\s{{1,3}})?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:{_DOT_BETWEEN}|{_BETWEEN})(?:(?:double|triple)\s{{1,3}})?(?:{_DIGIT_WORD}|[0-9]+))+(?!\w)", re.I)
 _SPOKEN_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<times>double|triple)|(?P<word>{_DIGIT_WORD}(?!\w))|(?P<digits>[0-9]+)|(?P<dot>{_DOT_BETWEEN})|(?P<gap>{_BETWEEN})", re.I)
 _HINT_SPOKEN = re.compile(rf"(?<!\w){_DIGIT_WORD}[\s,/_-]{{1,3}}{_DIGIT_WORD}[\s,/_-]{{1,3}}", re.I)
-_HINT_DOT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|arroba|punkt|point|punto)\s*[\])}>]|[\s_-](?:dot|punkt|punto)[\s_-]|&#|&commat|&period|\s@\s|\S@\s|\s@\S", re.I)
+_HINT_DOT = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.|arroba|punkt|point|punto)\s{0,3}[\])}>]|[\s_-](?:dot|punkt|punto)[\s_-]|&#|&commat|&period|\s@\s|\S@\s|\s@\S", re.I)
 _HINT_LEET = re.compile(r"[0-9.][OoIl|]{1,3}[0-9.]")
 _ENTITY_AT, _ENTITY_DOT = re.compile(r"&#0*64;|&#x0*40;|&commat;", re.I), re.compile(r"&#0*46;|&#x0*2e;|&period;", re.I)
-_BOXED_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*", re.I)
-_BOXED_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.I)
-_NAME = r"[A-Za-z0-9_%+-]+"
-_BARE = re.compile(rf"(?<![\w.@])(?:{_NAME}(?:\s+dot\s+|\.)){{0,4}}{_NAME}(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\s\.\s|\.)[A-Za-z0-9-]+){{0,4}}(?:\s+(?:dot|punkt|punto)\s+|\s\.\s)[A-Za-z][A-Za-z0-9-]*", re.I)
-_BARE_AT, _BARE_DOT = re.compile(r"\s+at\s+|\s*@\s*", re.I), re.compile(r"\s+(?:dot|punkt|punto)\s+|\s\.\s", re.I)
-_SNAKE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9.]+[_-]at[_-][A-Za-z0-9]+(?:[_-]dot[_-][A-Za-z0-9]+)+", re.I)
+_BOXED_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}", re.I)
+_BOXED_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|point|punto)\s{0,3}[\])}>]\s{0,3}", re.I)
+_NAME = r"[A-Za-z0-9_%+-]{1,64}"
+_BARE = re.compile(rf"(?<![\w.@%+-])(?:{_NAME}(?:\s{{1,3}}dot\s{{1,3}}|\.)){{0,4}}{_NAME}(?:\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}(?:dot|punkt|punto)\s{{1,3}}|\s\.\s|\.)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\s{{1,3}}(?:dot|punkt|punto)\s{{1,3}}|\s\.\s)[A-Za-z][A-Za-z0-9-]{{0,62}}", re.I)
+_BARE_AT, _BARE_DOT = re.compile(r"\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3}", re.I), re.compile(r"\s{1,3}(?:dot|punkt|punto)\s{1,3}|\s\.\s", re.I)
+_SNAKE = re.compile(r"(?<![A-Za-z0-9.])[A-Za-z0-9.]{1,64}[_-]at[_-][A-Za-z0-9]{1,63}(?:[_-]dot[_-][A-Za-z0-9]{1,63})+", re.I)
 _SNAKE_AT, _SNAKE_DOT = re.compile(r"[_-]at[_-]", re.I), re.compile(r"[_-]dot[_-]", re.I)
 
 
@@ -158,8 +161,7 @@ def spoken_digits(r: Rewriting) -> Rewriting:
             if kind == "times":
                 times = 2 if said == "double" else 3
             elif kind in ("word", "digits"):
-                put = DIGIT_WORDS.get(said, said) * times
-                new += [(p.start(), p.end(), put)]
+                new.append((p.start(), p.end(), None if kind == "digits" and times == 1 else DIGIT_WORDS.get(said, said) * times))
                 times = 1
             elif kind in ("plus", "dot"):
                 new += [(p.start(), p.end(), "+" if kind == "plus" else ".")]
@@ -167,7 +169,8 @@ def spoken_digits(r: Rewriting) -> Rewriting:
         for a, b, put in new:  # what stands between the parts goes
             if a > at:
                 edits.append((at, a, ""))
-            edits.append((a, b, put))
+            if put is not None:  # digits stay as they are, each with its own place
+                edits.append((a, b, put))
             at = b
         if at < m.end():
             edits.append((at, m.end(), ""))
@@ -222,10 +225,14 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     """
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted(((k, a, b) for k, find in FINDERS.items() for a, b in find(text)), key=lambda x: (x[1], order[x[0]]))
+    starts, reach = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
     more: list[tuple[str, int, int]] = []
+    last = -1  # the furthest end of those added, all of which start no later
     for k, a, b in sorted(set(disguised(text)), key=lambda x: (x[1], -x[2], order[x[0]])):
-        if not any(x <= a and b <= y for _, x, y in base) and not any(x <= a and b <= y for _, x, y in more):
+        i = bisect_right(starts, a)
+        if (not i or reach[i - 1] < b) and last < b:
             more.append((k, a, b))
+            last = b
     return base, more
 
 
@@ -252,7 +259,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every whole text, in code points of the source.
 
     n_<kind> and base_sha256 are of the plain spans, `spans` lists those and the added ones. A null
-    text is an empty one; null and repeated ids stay rows; other columns are not read.
+    text is an empty one; null and repeated ids stay rows; other columns are not read. Time goes
+    with the length of a text, whatever it holds.
     """
     return docs.select("doc_id", "text").mapInArrow(_find, SCHEMA)
 
