@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, table, texts
+from kindred.llm.common import helper, slices, table, texts
 from kindred.sources.scratch import materialize
 
 #: Runs of at least so many words count as repeated; shorter repeated lines stay.
@@ -87,10 +87,10 @@ def _runs(batches, least: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rank", "doc_id", "crc", "first", "n", "words"])
 
 
-def _delete(batches, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _delete(batches, columns: list[str], runs_name: str, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept_text, deleted, total, gone_words = [], [], [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column(runs_name).to_pylist()):
             if text is None:
                 kept_text.append(None)
                 deleted.append(0)
@@ -112,11 +112,14 @@ def _delete(batches, columns: list[str]) -> Iterator[pa.RecordBatch]:
             total.append(len(lines))
             gone_words.append(int(n[out].sum()))
         own = {c: batch.column(c) for c in columns} | {"text": pa.array(kept_text, pa.string())}
-        yield pa.RecordBatch.from_arrays([*(own[c] for c in columns), pa.array(total, pa.int64()), pa.array(deleted, pa.int64()), pa.array(gone_words, pa.int64())], [*columns, "n_lines", "n_deleted", "n_deleted_words"])
+        yield pa.RecordBatch.from_arrays([*(own[c] for c in columns), pa.array(total, pa.int64()), pa.array(deleted, pa.int64()), pa.array(gone_words, pa.int64())], [*columns, *names])
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs with the lines of later copies taken out of `text`, and n_lines, n_deleted, n_deleted_words.
+COUNTS = ("n_lines", "n_deleted", "n_deleted_words")
+
+
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, names: tuple[str, str, str] = COUNTS) -> DataFrame:
+    """docs with the lines of later copies taken out of `text`, and n_lines, n_deleted, n_deleted_words (under `names`).
 
     A run is lines of one document in a row, `least` words or more together; lines are equal if they
     are after stripping spaces at both ends. Its first copy is that of the least (doc_id, text digest,
@@ -124,27 +127,28 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     null; empty texts stay; a null id comes after all ids. Rows that agree in id and text are
     one document and lose the same lines. An empty table gives no rows. Columns of docs named like the three new ones are left out.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_deleted_words")]
+    columns = [c for c in docs.columns if c not in names]
+    p = helper(docs.columns)
     runs = materialize(docs.select("doc_id", "text").mapInArrow(lambda b: _runs(b, least), RUN), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc", "first")
     first = runs.groupBy("rank").agg(F.min(place).alias("original"), F.max(place).alias("last")).where("original <> last").select("rank", "original")
     later = runs.join(first, "rank").where(place != F.col("original"))
     by_doc = later.select("doc_id", "crc", "first", "n").distinct().groupBy("doc_id", "crc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("crc").alias("_c"), "runs")
-    keyed = docs.select(*columns).mapInArrow(_keyed(columns), f"{schema_of(docs, columns)}, _crc long")
-    joined = keyed.join(by_doc, keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["_crc"] == F.col("_c")), "left").select(*columns, "runs")
-    return joined.mapInArrow(lambda b: _delete(b, columns), f"{schema_of(docs, columns)}, n_lines long, n_deleted long, n_deleted_words long")
+    by_doc = by_doc.select(F.col("doc_id").alias(f"{p}d"), F.col("crc").alias(f"{p}c"), F.col("runs").alias(f"{p}runs"))
+    keyed = docs.select(*columns).mapInArrow(_keyed(columns, f"{p}crc"), f"{schema_of(docs, columns)}, {p}crc long")
+    joined = keyed.join(by_doc, keyed["doc_id"].eqNullSafe(F.col(f"{p}d")) & (keyed[f"{p}crc"] == F.col(f"{p}c")), "left").select(*columns, f"{p}runs")
+    return joined.mapInArrow(lambda b: _delete(b, columns, f"{p}runs", names), ", ".join([schema_of(docs, columns), *(f"`{x}` long" for x in names)]))
 
 
 def schema_of(docs: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
 
 
-def _keyed(columns: list[str]):
+def _keyed(columns: list[str], name: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = pa.array([0 if x is None else key_of(x) for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), crc], [*columns, "_crc"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), crc], [*columns, name])
 
     return run
 
