@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then removes a query's shuffle files when the query has ended; a written table needs them no more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Spark's own limit of buckets.
-MAX_BUCKETS = 100_000
+#: Rows that go to a Python worker at once while a table is written: long texts and arrays come in smaller batches.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,26 +39,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table", by: str | None = None, buckets: int = 1) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs a re-read of files that every
     other executor sees, never the work that made them. So the shuffle files of the writing query go.
-    With `by` the table is bucketed by that column: what is joined to it on the column is dealt out, it is not.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    path, before = scratch_path(spark, name), {k: spark.conf.get(k, v) for k, v in ((CLEANUP, "false"), (BATCH, "10000"))}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, min(BATCH_ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else BATCH_ROWS)
     try:
-        if by is None:
-            df.write.parquet(path)
-        else:
-            known = f"kindred_{uuid.uuid4().hex}"
-            df.write.bucketBy(min(buckets, MAX_BUCKETS), by).option("path", path).format("parquet").saveAsTable(known)
+        df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path) if by is None else spark.table(known)
-    out.scratch, out.known = path, None if by is None else known
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
     return out
 
 
@@ -66,7 +63,5 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() made and that nothing not yet written depends on."""
     for df in tables:
         if path := getattr(df, "scratch", None):
-            if df.known:
-                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.known}")
             fs, at = _hadoop(df.sparkSession, path)
             fs.delete(at.getParent(), True)
