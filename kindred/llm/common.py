@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow operator works on; a longer single text is one step.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.StringArray:
     return arr
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine: a worker lives on when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `size` bytes of the column, at least one row each."""
     for batch in batches:
@@ -47,6 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        release()
 
 
 def flat(arr: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import distinct, flat, id_crc, lowered, slices, table, texts, words
+from kindred.llm.common import distinct, flat, id_crc, lowered, release, slices, table, texts, words
 from kindred.llm.tokenizer import byte_letters, default_path
 from kindred.sources.scratch import materialize
 
@@ -30,11 +30,11 @@ LONGEST_LEARNED, LONGEST_WORD = 31, 1024
 #: Before a part that is not a word's first; no word holds it.
 GOES_ON = b"\n"
 #: Bytes of the words that one step has a lattice for.
-LATTICE_BYTES = 1 << 18
+LATTICE_BYTES = 1 << 16
 #: Share of every language's probability spread over all pieces alike.
 FLOOR = 1e-4
 #: Distinct words whose scores a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,6 +188,7 @@ def _expected(batches, path: str, langs: list[str], p: np.ndarray) -> Iterator[p
             for k in np.unique(lang[rows]):
                 mine = lang[rows] == k
                 expected(own.lattice(codes[mine]), p[:, k], count[rows[mine]], total[k])
+        release()
     k, piece = np.nonzero(total[:, :-1])
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(total[k, piece])], ["k", "piece", "n"])
 
@@ -276,6 +277,8 @@ def judged(part: pa.RecordBatch, model: Model, key: str) -> tuple[pa.Array, pa.A
 def _predict(batches, model: Model, key: str, columns: list[str], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *judged(part, model, key)], [*columns, *names])
+    _SCORES.clear()  # the worker may serve another operator next
+    release()
 
 
 def with_language(docs: DataFrame, model: Model, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, table, texts
+from kindred.llm.common import release, slices, table, texts
 from kindred.llm.tokenizer import default_path, encoder
 from kindred.sources.scratch import materialize
 
@@ -109,6 +109,8 @@ def _pieces(batches, tokenizer: str, window: int) -> Iterator[pa.RecordBatch]:
         seen += by
         carried = [c for c in ("position",) if c in part.schema.names]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), split)), part.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *map(pa.array, (start, length, crc, n[doc], rank)), *(part.column(c).take(pa.array(doc)) for c in carried)], ["split", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_rank", *carried])
+    enc._forget()  # the worker may serve another operator next
+    release()
 
 
 def _place(batches, rows: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from kindred.llm.common import flat
 
 #: Distinct pieces whose ids a Python worker remembers; beyond it, it forgets all and starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Appended to every document.
 END_ID = 0
 
