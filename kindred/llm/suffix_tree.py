@@ -40,7 +40,7 @@ LEAST = 2
 #: No word holds white space, so this name of the end is free.
 END = b"\n"
 #: Text bytes of a chunk; a longer single text is one.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens that a bucket is made for.
 BUCKET_TOKENS = 1 << 21
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
