@@ -237,17 +237,30 @@ def status_transitions(spark, sf_dir):
     return steps.select("user_id", F.size("s").cast("long").alias("n_events"), F.array_join(F.col("s.event_type"), ">").alias("transitions"))
 
 
-@query("WITH f AS (SELECT page_id, 'page' || page_id || CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' ELSE '.png' END AS filename FROM pages) SELECT page_id, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS extension, page_id % 4 IN (0, 3) AS is_image, page_id % 4 = 1 AS is_document FROM f")
+# Endings of the files listed, as they come in turn: of images, of documents, others.
+_ENDS = [f".{x}" for x in (*store.IMAGE_EXTENSIONS, *store.DOCUMENT_EXTENSIONS)] + [".JPG", ".Png", ".PDF", ".txt", ".svg", ".tar.gz", ".", ""]
+_IN_TURN = f"[{', '.join(repr(x) for x in _ENDS)}][page_id % {len(_ENDS)} + 1]"
+
+
+@query(f"WITH f AS (SELECT page_id, lower(regexp_extract('page' || page_id || {_IN_TURN}, '\\.([^.]+)$', 1)) AS extension FROM pages) SELECT page_id, extension, extension IN {store.IMAGE_EXTENSIONS} AS is_image, extension IN {store.DOCUMENT_EXTENSIONS} AS is_document FROM f")
 def extension_filter(spark, sf_dir):
-    ends = F.element_at(F.array(*map(F.lit, (".JPG", ".docx", ".txt", ".png"))), (F.col("page_id") % 4 + 1).cast("int"))
+    ends = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
     named = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page"), F.col("page_id").cast("string"), ends).alias("filename"))
     kind = store.extension(F.col("filename"))
     return named.select("page_id", kind.alias("extension"), kind.isin(*store.IMAGE_EXTENSIONS).alias("is_image"), kind.isin(*store.DOCUMENT_EXTENSIONS).alias("is_document"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' ELSE 'jpg' END AS extension FROM pages")
+# First bytes of files, as they come in turn, and what they are.
+_HEADS = [
+    ("FFD8FFE000", "jpg"), ("89504E470D0A1A0A00", "png"), ("474946383761", "gif"), ("474946383961", "gif"), ("474946383861", "jpg"),
+    ("424D00", "bmp"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("52494646000000005745425000", "webp"), ("524946460000000057454250", "jpg"),
+    ("52494646000000005741564500", "jpg"), ("716F696600", "qoi"), ("0001020304", "jpg"), ("", "jpg"),
+]
+
+
+@query(f"SELECT page_id, [{', '.join(repr(x) for _, x in _HEADS)}][page_id % {len(_HEADS)} + 1] AS extension FROM pages")
 def format_sniff(spark, sf_dir):
-    heads = F.element_at(F.array(*map(F.lit, ("89504E470D0A1A0A00", "474946383961", "0001020304"))), (F.col("page_id") % 3 + 1).cast("int"))
+    heads = F.element_at(F.array(*(F.lit(x) for x, _ in _HEADS)), (F.col("page_id") % len(_HEADS) + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", store.sniffed(F.unhex(heads)).alias("extension"))
 
 

@@ -224,10 +224,12 @@ def feature_map_scan(spark, sf_dir):
     return rows.join(ids, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("WITH new AS (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS l_quantity FROM lineitem WHERE l_returnflag = 'A') SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.l_orderkey = o.l_orderkey AND n.l_linenumber = o.l_linenumber) UNION ALL SELECT * FROM new")
+@query("WITH new AS (SELECT l_orderkey, l_linenumber, max(l_quantity) + CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END AS l_quantity FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.l_orderkey = o.l_orderkey AND n.l_linenumber = o.l_linenumber) UNION ALL SELECT * FROM new")
 def feature_upsert(spark, sf_dir):
+    """Lines come anew with one more, first lines then once again with two more: the greater of them stays."""
     old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    new = old.where("l_returnflag = 'A'").withColumn("l_quantity", F.col("l_quantity") + 1).drop("l_returnflag")
+    more = F.explode(F.when(F.col("l_linenumber") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    new = old.where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "l_quantity", more.alias("more")).withColumn("l_quantity", F.col("l_quantity") + F.col("more")).drop("more")
     return store.upsert(old.drop("l_returnflag"), new, ["l_orderkey", "l_linenumber"])
 
 
@@ -243,9 +245,11 @@ def latest_run(spark, sf_dir):
     return store.latest(runs, ["user_id", "event_type"], [F.desc("event_id")])
 
 
-@query("SELECT s_suppkey, 'n' || s_nationkey || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)")
+@query("WITH s AS (SELECT s_suppkey, 'n' || s_nationkey || CASE WHEN s_suppkey % 7 = 0 THEN '_' || (s_suppkey % 3 + 1) ELSE '' END AS stem FROM supplier), c AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY s_suppkey) - 1 AS k FROM s), i AS (SELECT stem, unnest(range(1, count(*) + 4)) AS number FROM s GROUP BY 1), free AS (SELECT stem, number, row_number() OVER (PARTITION BY stem ORDER BY number) AS k FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.stem = i.stem || '_' || i.number)) SELECT s_suppkey, stem || coalesce('_' || number, '') || '.png' AS unique_name FROM c LEFT JOIN free USING (stem, k)")
 def unique_key_suffix(spark, sf_dir):
-    named = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("name"))
+    """Names of which some look like those made for copies."""
+    like = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("_"), (F.col("s_suppkey") % 3 + 1).cast("string"))).otherwise("")
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), like, F.lit(".png")).alias("name"))
     return store.unique_names(named, "name", "s_suppkey").select("s_suppkey", "unique_name")
 
 

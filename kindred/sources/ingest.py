@@ -23,7 +23,12 @@ FEATURES = "image_id long, algo string, variant_idx int, key long"
 
 def sniff(data: bytes) -> str:
     # First bytes of formats.
-    heads = [(b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"GIF8", "gif")]
+    heads = [
+        (b"\xff\xd8\xff", "jpg"), (b"\x89PNG\r\n\x1a\n", "png"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"BM", "bmp"),
+        (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"qoif", "qoi"),
+    ]
+    if data.startswith(b"RIFF") and data[8:12] == b"WEBP" and len(data) > 12:
+        return "webp"
     return next((ext for head, ext in heads if data.startswith(head)), "jpg")
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "ico", "qoi")
-DOCUMENT_EXTENSIONS = ("docx", "pptx", "pdf")
+# Extensions of files that are taken as images and as documents.
+IMAGE_EXTENSIONS = (
+    "jpg", "jpeg", "jfif", "jpe", "png", "apng", "gif", "bmp", "dib", "tif", "tiff", "webp", "ico",
+    "cur", "tga", "qoi", "pbm", "pgm", "ppm", "pnm", "ff", "farbfeld", "exr", "hdr",
+)
+DOCUMENT_EXTENSIONS = ("pdf", "docx", "pptx")
 
 
 def page(df: DataFrame, key: str, skip: int = 0, limit: int = 100) -> DataFrame:
@@ -21,8 +25,13 @@ def children_count(parents: DataFrame, children: DataFrame, key: str, foreign: s
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new put in: a row of new replaces that of its key."""
-    return old.join(new, keys, "left_anti").select(*old.columns).union(new.select(*old.columns))
+    """old with the rows of new put in: a row of new replaces that of its key.
+
+    Of rows of new that repeat a key the greatest stays, by the other columns in their order.
+    """
+    others = [c for c in old.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*") if others else new.select(*keys).distinct()
+    return old.join(new, keys, "left_anti").select(*old.columns).union(one.select(*old.columns))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -35,19 +44,40 @@ def without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """name, name_1, name_2, ... by `order` among equal names."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), k.cast("string"))))
+    """Each name once, in unique_name: stem.ext, then stem_1.ext, stem_2.ext, ... by `order` among equal names.
+
+    A name that the column holds is never made for another row, whatever their order: its number is passed over (up to
+    nine digits). Null names stay null. One window over each name's rows and the numbers taken from it.
+    """
+    p = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in df.columns))
+    split = r"(?s)^(.+?)(\.[^.]*)?\z"
+    stem, ext = F.regexp_extract(name, split, 1), F.regexp_extract(name, split, 2)
+    parts = df.select(name).where(F.col(name).isNotNull()).distinct().select(stem.alias("stem"), ext.alias("ext"))
+    parts = parts.select(F.regexp_extract("stem", r"(?s)^(.*)_([1-9][0-9]{0,8})\z", 1).alias("of"), F.regexp_extract("stem", r"_([1-9][0-9]{0,8})\z", 1).alias("number"), "ext")
+    made = parts.where("number <> '' and (of <> '' or ext = '')").select(F.concat("of", "ext").alias(name), F.col("number").cast("long").alias("number"))
+    before = F.row_number().over(Window.partitionBy(name).orderBy("number")) - 1  # numbers under it that are taken too
+    taken = made.select(name, (F.col("number") - before).alias(f"{p}at"), F.lit(1).alias(f"{p}taken"))
+    copy = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    rows = df.withColumn(f"{p}at", copy.cast("long")).withColumn(f"{p}taken", F.lit(0)).unionByName(taken, allowMissingColumns=True)
+    passed = F.sum(f"{p}taken").over(Window.partitionBy(name).orderBy(f"{p}at", F.desc(f"{p}taken")))
+    numbered = rows.withColumn(f"{p}number", F.col(f"{p}at") + passed).where(F.col(f"{p}taken") == 0)
+    unique = F.when(F.col(f"{p}at") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col(f"{p}number").cast("string"), ext))
+    return numbered.withColumn("unique_name", unique).select(*[c for c in df.columns if c != "unique_name"], "unique_name")
 
 
 def extension(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    """Lower-case, without the dot; empty if there is none or nothing before it."""
+    return F.lower(F.regexp_extract(name, r"[^/]\.([^./]+)$", 1))
 
 
 def sniffed(content: Column) -> Column:
-    """png, jpg or gif by the first bytes; jpg if none fits."""
-    head = F.hex(F.substring(content, 1, 8))
-    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("47494638"), "gif").otherwise("jpg")
+    """jpg, png, gif, bmp, tiff, webp or qoi by the first bytes; jpg if none fits."""
+    head = F.hex(F.substring(content, 1, 12))
+    # First bytes of formats.
+    kind = F.when(head.startswith("FFD8FF"), "jpg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif")
+    kind = kind.when(head.startswith("424D"), "bmp").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "tiff")
+    kind = kind.when(head.startswith("52494646") & head.endswith("57454250") & (F.length(content) > 12), "webp").when(head.startswith("716F6966"), "qoi")
+    return kind.otherwise("jpg")
 
 
 def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from kindred.operators.components import connected_components
 from kindred.operators.mih import near_keys
 from kindred.plans import analysis  # noqa: F401  (adds its queries)
 from kindred.plans.catalogue import ORACLE_SQL, QUERIES
+from kindred.sources import ingest, store
 from kindred.streaming.increment import run_increments
 
 QUICK = ["raster_quantize", "orientation_variants", "ahash_bits", "mhash_bits", "canonical_rot64", "exact_duplicates", "project_image_counts", "images_page", "features_ready", "feature_upsert", "cascade_delete", "latest_run", "unique_key_suffix", "extract_links", "owner_plan", "stub_embed", "full_gate", "backfill_due", "pair_cache_lookup", "pair_cache_prune", "run_summary_json", "extension_filter", "format_sniff", "match_score", "cross_check_matches", "ratio_matches", "similar_images", "crop_candidates", "compare_groups", "same_orientation_pairs", "smart_groups_confirmed"]
@@ -75,3 +76,18 @@ def test_increments_equal_one_batch(spark, tmp_path):
     run_increments(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "cp"), 2).awaitTermination(120)
     got = {(r.image_id, r.prior_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {(max(p), min(p)) for p in got} == {(a, b) for a, _, x in keys for b, _, y in keys if b < a and (x ^ y).bit_count() <= 2}
+
+
+def test_names_formats_and_upserts_of_odd_rows(spark):
+    names = ["a", "a", "a_1", "a", None, None, "p.x.jpg", "p.x.jpg", "p.x_1.jpg", "p.x.jpg", ".rc", ".rc", "", "", "_1", "a_1", "a_01", "_1.jpg", ".jpg", ".jpg"]
+    rows = spark.createDataFrame(list(enumerate(names)), "_at long, name string")
+    got = [r.unique_name for r in store.unique_names(rows, "name", "_at").orderBy("_at").collect()]
+    assert got == ["a", "a_2", "a_1", "a_3", None, None, "p.x.jpg", "p.x_2.jpg", "p.x_1.jpg", "p.x_3.jpg", ".rc", ".rc_1", "", "_2", "_1", "a_1_1", "a_01", "_1.jpg", ".jpg", ".jpg_1"]
+    assert store.unique_names(rows.limit(0), "name", "_at").count() == 0
+    heads = [bytes.fromhex(x) for x, _ in analysis._HEADS]
+    assert [ingest.sniff(x) for x in heads] == [x for _, x in analysis._HEADS]
+    old = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string")
+    new = spark.createDataFrame([("b", 1), ("c", 1), (None, 3)], "v string, k int")
+    assert sorted(store.upsert(old, new, ["k"]).collect(), key=str) == sorted([(1, "c"), (2, "y"), (3, None), (None, "z")], key=str)
+    files = spark.createDataFrame([("a.JPG",), (".png",), ("d/.png",), ("d.x/f",), ("f.tar.gz",), (None,)], "n string")
+    assert [r.e for r in files.select(store.extension(files.n).alias("e")).collect()] == ["jpg", "", "", "", "gz", None]
