@@ -33,6 +33,8 @@ GOES_ON = b"\n"
 LATTICE_BYTES = 1 << 16
 #: Share of every language's probability spread over all pieces alike.
 FLOOR = 1e-4
+#: Text bytes that are scored at once.
+SCORED_BYTES = 1 << 20
 #: Distinct words whose scores a Python worker remembers.
 REMEMBERED = 150_000
 UNDETERMINED = "und"
@@ -275,7 +277,7 @@ def judged(part: pa.RecordBatch, model: Model, key: str) -> tuple[pa.Array, pa.A
 
 
 def _predict(batches, model: Model, key: str, columns: list[str], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, size=SCORED_BYTES):
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *judged(part, model, key)], [*columns, *names])
     _SCORES.clear()  # the worker may serve another operator next
     release()
