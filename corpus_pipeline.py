@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, a similarity of 0.8 or more) stays."""
+    """One document of each class of near duplicates stays: SimHash links, then all similarities of 0.8 or more that they leave apart."""
     return keep_one(docs)
 
 

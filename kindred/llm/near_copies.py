@@ -1,9 +1,13 @@
-"""Near copies by an exact join: five-word shingles, a similarity (Jaccard, of sets of shingles) of 0.8 or more.
+"""Near copies by SimHash, then by an exact join for the pairs that it leaves apart.
+
+SimHash links are op5's (three-word shingles, fingerprints of 64 bits, two bits, found by blocks of bits; see simhash.py).
+Near copies of a similarity of 0.8 mostly differ in more bits than that, so an exact join of sets follows: five-word
+shingles, a similarity (Jaccard, of sets of shingles) of 0.8 or more.
 
 In any common order of shingles, two sets of such a similarity share one among the first n / 5 + 1 of each
 (a prefix), and the smaller set has it among its first n / 9 + 1. Rare shingles come first, so blocks are
 small; how rare they are is counted in BUCKETS hashed counters, as any order finds the same pairs. What meets is
-verified on the whole sets, so links are all pairs of 0.8 or more, and no others.
+verified on the whole sets, so its links are all pairs of 0.8 or more, and no others.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm import simhash
 from kindred.llm.common import distinct, flat, helper, lowered, slices, texts, words
 from kindred.operators.components import connected_components
 from kindred.sources.scratch import discard, materialize
@@ -73,13 +78,14 @@ def shingle_set(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     return shingle_sets(pa.array([text], pa.binary()), shingle)[0]
 
 
-def _nodes(batches, shingle: int) -> Iterator[pa.RecordBatch]:
+def _nodes(batches, shingle: int, fingerprinted: bool) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest as hashed
 
     for part in slices(batches):
+        fp = np.fromiter((simhash.fingerprint(x) if fingerprinted else 0 for x in texts(part).cast(pa.binary()).to_pylist()), np.uint64, part.num_rows)
         h, off = shingle_sets(texts(part), shingle)
         node = np.fromiter((hashed(h[i:j].tobytes(), SEED) for i, j in zip(off[:-1].tolist(), off[1:].tolist())), np.uint64, part.num_rows)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array(node.view(np.int64))], ["doc_id", "row", "node"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64))], ["doc_id", "row", "node", "fp"])
 
 
 def _sets(batches, shingle: int) -> Iterator[pa.RecordBatch]:
@@ -157,8 +163,31 @@ def verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return found
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(node, set) distinct sets -> edges (u, v) with the closure of all pairs of a similarity of 0.8 or more.
+def fingerprint_links(found: DataFrame) -> DataFrame:
+    """(node, fp) -> edges (u, v) of nodes with the closure of all links of their fingerprints by SimHash.
+
+    A set has several fingerprints where texts repeat its shingles in other numbers, and a fingerprint several
+    sets; each node is tied to the least node of each of its fingerprints' classes.
+    """
+    own = found.select("node", "fp").distinct()
+    parts = connected_components(simhash.links(own.select("fp").distinct())).withColumnRenamed("node", "fp")
+    placed = materialize(own.join(parts, "fp", "left").select("node", F.coalesce("component", "fp").alias("class")).distinct(), "fingerprint_classes")
+    least = placed.groupBy("class").agg(F.min("node").alias("u"))
+    edges = materialize(placed.join(least, "class").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "fingerprint_links")
+    discard(placed)
+    return edges
+
+
+def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The pairs (node, pivot) of different components."""
+    homes = placed.select(F.col("node").alias("pivot"), F.col("part").alias("home"))
+    return pairs.join(placed, "node").join(homes, "pivot").where("part <> home")
+
+
+def links(fps: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, set) distinct sets -> edges (u, v) with the closure of all pairs of a similarity of 0.8 or more, and of the known edges.
+
+    What the known edges join is not held against each other again.
 
     A block has the sets with a key in their prefix; its pivot is its least member. Every set is first held
     against the pivot that it shares most blocks with, then against all its pivots in other components, then
@@ -175,11 +204,13 @@ def links(fps: DataFrame) -> DataFrame:
     discard(keys)
     alike = 5 * F.least("size", "pivot_size") >= 4 * F.greatest("size", "pivot_size")  # else the similarity is under 0.8
     stars = materialize(shared.where((F.col("node") != F.col("pivot")) & alike).groupBy("node", "pivot").agg(F.count("*").alias("n")), "stars")
-    nearest = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    open_ = stars if known is None else apart(stars, placed_by(known, fps))
+    nearest = open_.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
     found = verified(nearest.select(F.col("pivot").alias("u"), F.col("node").alias("v")), fps)
+    if known is not None:
+        found = known.union(found)
     placed = placed_by(found, fps)
-    apart = stars.join(placed, "node").join(placed.select(F.col("node").alias("pivot"), F.col("part").alias("home")), "pivot").where("part <> home")
-    found = found.union(verified(apart.select(F.col("pivot").alias("u"), F.col("node").alias("v")), fps))
+    found = found.union(verified(apart(stars, placed).select(F.col("pivot").alias("u"), F.col("node").alias("v")), fps))
     placed = placed_by(found, fps)
     for draw in range(DRAWS):
         order = F.xxhash64("node", "key", F.lit(draw))  # another member for each key
@@ -206,20 +237,21 @@ def placed_by(edges: DataFrame, fps: DataFrame) -> DataFrame:
     return materialize(fps.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part")), "placed")
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = SHINGLE_WORDS, fingerprinted: bool = False) -> DataFrame:
     """doc_id, component_id (least doc_id reachable by links) of every document.
 
-    Only distinct sets are joined. Texts without words (null ones too) have the empty set and form one class. Rows of one id stay
+    Links are pairs of sets of a similarity of 0.8 or more; if fingerprinted, those of SimHash first, closed together. Only distinct sets are joined. Texts without words (null ones too) have the empty set and form one class. Rows of one id stay
     rows; null ids stay null and count for no minimum (component_id is null where a class has
     no id). Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = materialize(rows.mapInArrow(lambda b: _nodes(b, shingle), "doc_id long, row long, node long"), "nodes")
+    found = materialize(rows.mapInArrow(lambda b: _nodes(b, shingle, fingerprinted), "doc_id long, row long, node long, fp long"), "nodes")
+    known = fingerprint_links(found) if fingerprinted else None
     first = found.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
     # texts are dealt out, not their larger sets; sets are made anew from one text of each
     chosen = rows.groupBy("row").agg(F.any_value("text").alias("text")).join(first, "row").select("node", "least", "text")
     fps = materialize(chosen.mapInArrow(lambda b: _sets(b, shingle), "node long, least long, set array<long>"), "distinct")
-    parts = materialize(connected_components(links(fps)), "parts")
+    parts = materialize(connected_components(links(fps, known)), "parts")
     placed = fps.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = materialize(placed.join(named, "component").select("node", "component_id"), "classes")
@@ -230,10 +262,10 @@ def similar(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """The document of the least id of every class, with its columns; of rows that repeat an id, the first by text.
 
-    A class without any id keeps all its rows.
+    Classes are closed over SimHash links and similar sets. A class without any id keeps all its rows.
     """
     p = helper(docs.columns)
-    classes = similar(docs, shingle).select(F.col("doc_id").alias(f"{p}id"), F.col("component_id").alias(f"{p}first")).where(F.col(f"{p}first").isNull() | (F.col(f"{p}id") == F.col(f"{p}first"))).distinct()
+    classes = similar(docs, shingle, fingerprinted=True).select(F.col("doc_id").alias(f"{p}id"), F.col("component_id").alias(f"{p}first")).where(F.col(f"{p}first").isNull() | (F.col(f"{p}id") == F.col(f"{p}first"))).distinct()
     kept = docs.join(classes, docs["doc_id"].eqNullSafe(F.col(f"{p}id")))
     again = Window.partitionBy(f"{p}id", F.when(F.col(f"{p}id").isNull(), F.monotonically_increasing_id())).orderBy("text")
     return kept.withColumn(f"{p}k", F.row_number().over(again)).where(F.col(f"{p}k") == 1).select(*[docs[c] for c in docs.columns])

@@ -110,3 +110,22 @@ def test_single_pairs_from_the_threshold_on(spark):
 def test_pairs_under_the_threshold_stay_apart(spark):
     pairs = [p for s in (0.7, 0.74, 0.76, 0.78) for p in pairs_at(s, 40, f"s{int(100 * s)}x")]
     assert all(0.65 < p[2] < 0.8 for p in pairs) and not any(linked(spark, pairs))
+
+
+def test_stage_links_by_simhash_and_by_similarity(spark):
+    """The pipeline's stage joins what op5 links, though sets are unlike, and pairs at 0.8 that op5 leaves apart."""
+    import corpus_pipeline
+    from kindred.llm import simhash
+
+    rng, often = np.random.default_rng(11), "one two three four five six seven eight nine " * 200
+    tails = [" ".join(f"t{x}" for x in rng.integers(0, 10**9, 40)) for _ in range(2)]
+    repeated = [often + t for t in tails]  # the same shingles nearly always, but few of the different ones
+    assert len(shingles(repeated[0]) & shingles(repeated[1])) < 0.3 * len(shingles(repeated[0]) | shingles(repeated[1]))
+    assert bin(simhash.fingerprint(repeated[0].encode()) ^ simhash.fingerprint(repeated[1].encode())).count("1") <= 2
+    pairs = [p for p in pairs_at(0.8, 20, "b") if p[2] >= 0.8]
+    texts = repeated + [x for p in pairs for x in p[:2]] + tails[:1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    by_op5 = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert by_op5[1] == 0 and sum(by_op5[i] != i for i in range(2, len(texts))) < len(pairs)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert kept == {0, *range(2, len(texts), 2)}
