@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,23 @@ def test_tokenizer_cuts_change_nothing():
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [ids_of(t) for t in texts]
 
 
+def test_frequent_pieces_are_learned_once(monkeypatch):
+    """A full memory gives up rare pieces only, and ids stay those of whole texts."""
+    from kindred.llm import tokenizer
+
+    monkeypatch.setattr(tokenizer, "REMEMBERED", 100)
+    enc, learned = tokenizer.Encoder(tokenizer.default_path()), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: (learned.extend(new), learn(new)))
+    for k in range(40):
+        texts = ["often these words are met", "\n\n9", "a\nb\n\nc \nd\n\u3000e\u00a0\nf\n!", "", " ".join(f"rare{k}x{i}" for i in range(30)), "again they're here"]
+        ids, off = enc.encode(pa.array(texts))
+        for text, a, b in zip(texts, off[:-1], off[1:]):
+            assert ids[a:b].tolist() == [*enc.model.encode(text, add_special_tokens=False).ids, tokenizer.END_ID]
+    assert learned.count(" words") == learned.count("often") == 1
+    assert len(enc.at) < 300
+
+
 def test_added_token_is_one_id():
     import pyarrow as pa
     from tokenizers import Tokenizer
