@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import simhash
-from kindred.llm.common import distinct, flat, helper, lowered, slices, texts, words
+from kindred.llm.common import distinct, flat, helper, lowered, release, slices, texts, words
 from kindred.operators.components import connected_components
 from kindred.sources.scratch import discard, materialize
 
@@ -31,6 +31,10 @@ BUCKET_BITS, CHUNKS = 20, 64
 BUCKETS = 1 << BUCKET_BITS
 #: How often members are drawn from blocks before pairs are formed; it changes the work, not the links' closure.
 DRAWS = 1
+#: Text bytes whose shingles are made at once.
+STEP_BYTES = 1 << 20
+#: Longs of a set's sketch, in columns of their own.
+SKETCH = [f"sketch_{i}" for i in range(8)]
 #: An odd factor; a shingle's hash is a polynomial in it over the hashes of its words.
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -78,10 +82,21 @@ def shingle_set(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     return shingle_sets(pa.array([text], pa.binary()), shingle)[0]
 
 
+def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The parity of each set's hashes by their last bits, as len(SKETCH) longs a set.
+
+    A bit in which two sketches differ takes a hash that one of the sets has alone, so at least as many
+    hashes are in one set only.
+    """
+    out = np.zeros((len(off) - 1, len(SKETCH)), np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(off) - 1), np.diff(off)), (h >> np.uint64(6)) % np.uint64(len(SKETCH))), np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
 def _nodes(batches, shingle: int, fingerprinted: bool) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest as hashed
 
-    for part in slices(batches):
+    for part in slices(batches, size=STEP_BYTES):
         fp = np.fromiter((simhash.fingerprint(x) if fingerprinted else 0 for x in texts(part).cast(pa.binary()).to_pylist()), np.uint64, part.num_rows)
         h, off = shingle_sets(texts(part), shingle)
         node = np.fromiter((hashed(h[i:j].tobytes(), SEED) for i, j in zip(off[:-1].tolist(), off[1:].tolist())), np.uint64, part.num_rows)
@@ -89,9 +104,10 @@ def _nodes(batches, shingle: int, fingerprinted: bool) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches, shingle: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, size=STEP_BYTES):
         h, off = shingle_sets(texts(part), shingle)
-        yield pa.RecordBatch.from_arrays([part.column("node"), part.column("least"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "least", "set"])
+        sketch = [pa.array(x.view(np.int64)) for x in np.ascontiguousarray(sketches(h, off).T)]
+        yield pa.RecordBatch.from_arrays([part.column("node"), part.column("least"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64))), *sketch], ["node", "least", "set", *SKETCH])
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
@@ -106,6 +122,8 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
         total += np.bincount(buckets(values.to_numpy(zero_copy_only=False)), minlength=BUCKETS)
     if total.any():
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)], pa.binary())], ["chunk", "n"])
+    del total
+    release()
 
 
 def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +155,7 @@ def _prefixes(batches, counts) -> Iterator[pa.RecordBatch]:
             doc, pos, order = doc[first], pos[first], order[first]
             node = part.column("node").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(node[doc]), pa.array(h[order]), pa.array(pos.astype(np.int32)), pa.array(n[doc].astype(np.int32))], ["node", "key", "pos", "size"])
+    release()
 
 
 def prefixes(fps: DataFrame) -> DataFrame:
@@ -148,6 +167,7 @@ def prefixes(fps: DataFrame) -> DataFrame:
 def _among(batches, wanted) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(wanted.value[buckets(batch.column("node").to_numpy(zero_copy_only=False))]))
+    release()
 
 
 def verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
@@ -185,7 +205,7 @@ def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(node, set) distinct sets -> edges (u, v) with the closure of all pairs of a similarity of 0.8 or more, and of the known edges.
+    """(node, set, sketch) distinct sets -> edges (u, v) with the closure of all pairs of a similarity of 0.8 or more, and of the known edges.
 
     What the known edges join is not held against each other again.
 
@@ -195,6 +215,7 @@ def links(fps: DataFrame, known: DataFrame | None = None) -> DataFrame:
     against the block's members of other components. A block full of near copies thus costs its size, not
     its square. A pair that shares several keys in a row meets at the first of them only. At the first key that two sets share, what follows must suffice for the similarity, which bounds
     its places; in the smaller set it is among the first n / 9 + 1, so blocks without such a member go.
+    Of a pair of such a similarity at most a ninth of both sizes is in one set only, so pairs whose sketches differ in more bits go before they are formed.
     """
     keys = materialize(prefixes(fps), "prefixes")
     early = F.col("size") >= 9 * F.col("pos")
@@ -223,10 +244,12 @@ def links(fps: DataFrame, known: DataFrame | None = None) -> DataFrame:
         found = found.union(verified(beyond, fps))
         placed = placed_by(found, fps)
     before = F.lag("key").over(Window.partitionBy("node").orderBy("pos"))  # a pair that shares it too has met there
-    members = materialize(shared.join(placed, "node").select("key", "node", "pos", "size", "part", before.alias("before")), "members")
-    smaller = members.where(early).select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "pos", "size", "part", "before")))
+    sketched = placed.join(fps.select("node", *SKETCH), "node")
+    members = materialize(shared.join(sketched, "node").select("key", "node", "pos", "size", "part", before.alias("before"), *SKETCH), "members")
+    smaller = members.where(early).select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "pos", "size", "part", "before", *SKETCH)))
+    differing = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(c))) for c in SKETCH), F.lit(0))
     enough = 9 * F.least(F.col("size_u") - F.col("pos_u"), F.col("size") - F.col("pos")) >= 4 * (F.col("size_u") + F.col("size"))
-    met = smaller.join(members, "key").where((F.col("size_u") <= F.col("size")) & (F.col("part_u") != F.col("part")) & F.coalesce(F.col("before_u") != F.col("before"), F.lit(True)) & enough)
+    met = smaller.join(members, "key").where((F.col("size_u") <= F.col("size")) & (F.col("part_u") != F.col("part")) & F.coalesce(F.col("before_u") != F.col("before"), F.lit(True)) & enough & (9 * differing <= F.col("size_u") + F.col("size")))
     rest = met.select(F.least("node_u", "node").alias("u"), F.greatest("node_u", "node").alias("v")).distinct()
     return found.union(verified(rest, fps))
 
@@ -250,7 +273,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE_WORDS, fingerprinted: bool =
     first = found.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
     # texts are dealt out, not their larger sets; sets are made anew from one text of each
     chosen = rows.groupBy("row").agg(F.any_value("text").alias("text")).join(first, "row").select("node", "least", "text")
-    fps = materialize(chosen.mapInArrow(lambda b: _sets(b, shingle), "node long, least long, set array<long>"), "distinct")
+    fps = materialize(chosen.mapInArrow(lambda b: _sets(b, shingle), ", ".join(["node long, least long, set array<long>", *(f"{x} long" for x in SKETCH)])), "distinct")
     parts = materialize(connected_components(links(fps, known)), "parts")
     placed = fps.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))

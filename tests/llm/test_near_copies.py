@@ -129,3 +129,62 @@ def test_stage_links_by_simhash_and_by_similarity(spark):
     assert by_op5[1] == 0 and sum(by_op5[i] != i for i in range(2, len(texts))) < len(pairs)
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
     assert kept == {0, *range(2, len(texts), 2)}
+
+
+def test_stages_hand_little_to_a_worker_at_once(spark):
+    """After any stage has begun, about 1 MB of rows goes to a Python worker at once; a longer row ends its batch, a smaller setting stays."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield near_copies.pa.RecordBatch.from_arrays([near_copies.pa.array([b.num_rows]), near_copies.pa.array([b.nbytes])], ["rows", "size"])
+
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", [(i, f"word{i} two three four five six", "s", "en", i) for i in range(4)]
+    for name, stage in corpus_pipeline.STAGES:
+        own = spark.newSession()
+        stage(own, own.createDataFrame(rows, "doc_id long, text string, source string, lang string, position long"), "")
+        wide = own.range(0, 3000, 1, 1).select(F.repeat(F.lit("text "), F.when(F.col("id") == 9, 600_000).otherwise(400)).alias("text"))
+        got = wide.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in got) == 3000 and max(r["size"] for r in got if r.rows > 1 and r["size"] < 3_000_000) < 1_200_000, name
+        assert all(r["size"] < 4_200_000 for r in got), name
+        own.conf.set(key, "5000")
+        stage(own, own.createDataFrame(rows, "doc_id long, text string, source string, lang string, position long"), "")
+        assert own.conf.get(key) == "5000"
+
+
+def test_batches_do_not_change_what_stays(spark):
+    small = spark.newSession()
+    small.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4000)
+    small.conf.set("spark.sql.parquet.columnarReaderBatchSize", 3)
+    kept = [sorted(r.doc_id for r in near_copies.keep_one(s.createDataFrame(list(enumerate(made())), "doc_id long, text string").repartition(2)).collect()) for s in (spark, small)]
+    assert kept[0] == kept[1]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    found = [x or "" for x in made()]
+    h, off = near_copies.shingle_sets(near_copies.pa.array(found))
+    bits = np.unpackbits(near_copies.sketches(h, off).view(np.uint8), axis=1).astype(int)
+    sets = [set(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
+    assert all((bits[i] != bits[j]).sum() <= len(sets[i] ^ sets[j]) for i in range(0, len(sets), 3) for j in range(i))
+
+
+def test_block_of_members_not_alike_forms_few_pairs(spark, monkeypatch):
+    """Copies of one text, each unlike all others, share rare shingles; their pairs are not formed, and all stay."""
+    rng, formed = np.random.default_rng(21), []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = []
+    for k in range(200):
+        copy = list(base)
+        for i in rng.choice(300, 6, replace=False):
+            copy[i] = f"new{k}x{i}"
+        texts.append(" ".join(copy))
+    own = [shingles(t) for t in texts]
+    apart = [i for i in range(200) if all(len(own[i] & own[j]) < 0.8 * len(own[i] | own[j]) for j in range(200) if j != i)]
+    assert len(apart) > 190
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, fps: (formed.append(pairs.count()), verified(pairs, fps))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.similar(docs).collect()}
+    assert len(got) == 200 and all(sum(c == got[i] for c in got.values()) == 1 for i in apart)
+    assert formed[-1] < 2000, formed
