@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import slices, table, texts
 from kindred.llm.tokenizer import default_path, encoder
-from kindred.sources.scratch import materialize, scratch_path
+from kindred.sources.scratch import filesystem, materialize, scratch_path
 
 MAGIC = b"KTOK"
 HEADER = struct.Struct("<HBx32sQ")
@@ -39,14 +39,6 @@ LEVEL = 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 20_000, 65_536
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI that executors can all reach."""
-    from pyarrow import fs
-
-    uri = uri.replace("s3a://", "s3://", 1)
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
