@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import floor
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.bits import hamming
+from kindred.operators import blocks
 from kindred.operators.grouping import members
 from kindred.operators.mih import near_keys
 
@@ -83,8 +86,34 @@ def report(images: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def similar_to(keys: DataFrame, probes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(probe_id, image_id, score, rank): up to n images most like each probe, by one key each; equal file_hash is left out. probes is (image_id, key, file_hash)."""
-    p = probes.select(F.col("image_id").alias("probe_id"), F.col("key").alias("probe_key"), F.col("file_hash").alias("probe_hash"))
-    met = keys.join(p, F.expr("file_hash <> probe_hash")).select("probe_id", "image_id", (1 - hamming(F.col("key"), F.col("probe_key")) / F.lit(64.0)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("score"), "image_id"))
-    return met.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= n)
+    """(probe_id, image_id, score, rank): up to n images most like each probe, by one key each; equal file_hash is left out. Both are (image_id, key, file_hash), nulls take no part.
+
+    A task holds some probes with their best so far and reads all files of keys.
+    """
+    spark = keys.sparkSession
+    kinds = dict(probes.dtypes)["image_id"], dict(keys.dtypes)["image_id"]
+    whole = [x.select(F.col("image_id").cast("long").alias("image_id"), "key", "file_hash").dropna() for x in (keys, probes)]
+    files, asked = blocks.stored(whole[0], "keys", "image_id"), blocks.stored(whole[1], "probes", "image_id", 32)
+    most = max((d for d in range(65) if 1 - d / 64 >= threshold), default=-1)
+
+    def work(file: blocks.File) -> Iterator[list[np.ndarray]]:
+        mine = blocks.read(file)
+        hashes = {h: k for k, h in enumerate(dict.fromkeys(mine["file_hash"].to_pylist()))}
+        own = np.array([hashes[h] for h in mine["file_hash"].to_pylist()])
+        at = range(0, len(own), blocks.STRIP)
+        best = [blocks.Best(len(own[k : k + blocks.STRIP]), n) for k in at]
+        for other in files:
+            y = blocks.read(other)
+            theirs = np.array([hashes.get(h, -1) for h in y["file_hash"].to_pylist()])
+            for k, found in zip(at, best):
+                d = blocks.distance(mine["key"][k : k + blocks.STRIP], y["key"])
+                r, c = blocks.where(d <= np.minimum(most, -found.least)[:, None])
+                keep = own[k + r] != theirs[c]
+                r, c = r[keep], c[keep]
+                found.offer(r, -d[r, c].astype(float), y["image_id"][c])
+        for k, found in zip(at, best):
+            r, rank, score, ids = found.ranked()
+            yield [mine["image_id"][k + r], ids, 1 + score / 64, rank]
+
+    near = blocks.each(spark, asked, work, "probe_id long, image_id long, score double, rank int")
+    return near.withColumns({"probe_id": F.col("probe_id").cast(kinds[0]), "image_id": F.col("image_id").cast(kinds[1])})

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kindred.operators import blocks, descriptors, neighbours
+from kindred.operators import blocks, compare, descriptors, mih, neighbours
 
 
 def frame(spark, x):
@@ -65,3 +65,21 @@ def test_descriptors_meet_without_their_pairs(spark, monkeypatch):
     plan = descriptors.ratio_matches(df, 0.9)
     assert moved(plan) == []
     assert {tuple(r) for r in plan.collect()} == {(s, o, i, n[0][1], n[0][0], n[1][0]) for (s, o, i), n in near.items() if s < o and len(n) > 1 and n[0][0] < 0.9 * n[1][0]}
+
+
+def test_keys_meet_without_their_pairs(spark, monkeypatch):
+    small_files(monkeypatch)
+    rng = np.random.default_rng(4)
+    keys = [int(k) for k in rng.integers(-(2**63), 2**63, 40)]
+    keys += [keys[0]] * 12 + [k ^ 5 for k in keys[:8]]
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    df = spark.createDataFrame([*enumerate(keys), (99, None)], "vec_id long, key long")
+    for threshold in (0.0, 0.55, 1.0):
+        got = mih.similar(df, threshold)
+        assert moved(got) == []
+        assert sorted(tuple(r) for r in got.collect()) == [(i, j, d, 1 - d / 64) for i in range(60) for j in range(i + 1, 60) if 1 - (d := far(keys[i], keys[j])) / 64 >= threshold]
+    held = df.selectExpr("vec_id as image_id", "key", "string(vec_id % 50) as file_hash")
+    got = compare.similar_to(held, held.where("image_id % 3 = 0"), 7, 0.5)
+    assert moved(got) == []
+    want = {i: sorted((far(keys[i], keys[j]), j) for j in range(60) if i % 50 != j % 50 and far(keys[i], keys[j]) <= 32)[:7] for i in range(0, 60, 3)}
+    assert sorted(tuple(r) for r in got.collect()) == [(i, j, 1 - d / 64, k + 1) for i, j, d, k in sorted((i, j, d, k) for i, x in want.items() for k, (d, j) in enumerate(x))]
