@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kindred.operators import blocks, compare, descriptors, mih, neighbours
+from kindred.operators import blocks, compare, crops, descriptors, mih, neighbours
 
 
 def frame(spark, x):
@@ -83,3 +83,20 @@ def test_keys_meet_without_their_pairs(spark, monkeypatch):
     assert moved(got) == []
     want = {i: sorted((far(keys[i], keys[j]), j) for j in range(60) if i % 50 != j % 50 and far(keys[i], keys[j]) <= 32)[:7] for i in range(0, 60, 3)}
     assert sorted(tuple(r) for r in got.collect()) == [(i, j, 1 - d / 64, k + 1) for i, j, d, k in sorted((i, j, d, k) for i, x in want.items() for k, (d, j) in enumerate(x))]
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_crops_meet_without_a_shuffle_of_hits(spark, monkeypatch, few):
+    small_files(monkeypatch)
+    monkeypatch.setattr(crops, "FEW", few)
+    rng = np.random.default_rng(5)
+    pool = [int(k) for k in rng.integers(-(2**63), 2**63, 12)]
+    rows = {(i, pool[int(rng.integers(0, 12))] ^ int(1 << int(rng.integers(0, 8)) if rng.random() < 0.5 else 0)) for i in range(40) for _ in range(4)} | {(i, 7) for i in range(30)}
+    df = spark.createDataFrame(sorted(rows), "image_id long, key long")
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3
+    keys = {i: {k for o, k in rows if o == i} for i in range(40)}
+    want = {(i, j): n for i in keys for j in keys if i != j and (n := sum(any(near(a, b) for b in keys[j]) for a in keys[i]))}
+    got, found = crops.hit_counts(df), crops.candidates(df)
+    assert moved(got) == moved(found) == []
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, j, n) for (i, j), n in want.items())
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(min(p), max(p)) for p, n in want.items() if n >= 2})
