@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindred.functions import raster
+from kindred.functions import kernels, raster
+from kindred.operators import grouping
 
 
 def test_signatures_of_odd_rasters(spark):
@@ -16,3 +17,29 @@ def test_signatures_of_odd_rasters(spark):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows) * 24
     assert "transform" not in got._jdf.queryExecution().executedPlan().toString()  # no raster is turned a pixel at a time
     assert got.select(F.count("key")).first()[0] == len(rows) * 24
+
+
+def test_a_scene_is_transformed_once(monkeypatch):
+    """16 parts and one scene: 17 transforms, not 32; and weights of a size are worked out once."""
+    made, real = [], np.fft.rfft2
+    monkeypatch.setattr(np.fft, "rfft2", lambda *a: made.append(1) or real(*a))
+    x = np.random.default_rng(7).integers(0, 256, (8, 8)).astype(np.uint8)
+    assert kernels.slice_match(x, x)["coverage"] == 1.0 and len(made) == 17
+    kernels.resize(x, 32, 32)
+    before = kernels._weights.cache_info().misses
+    kernels.resize(x, 32, 32)
+    assert kernels._weights.cache_info().misses == before
+
+
+def test_groups_read_their_pairs_once(spark, monkeypatch):
+    """The work that makes the pairs is done once: groups() stands on a written table."""
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (7, 8, 0.86)], "i long, j long, score double").mapInArrow(count, "i long, j long, score double")
+    assert sorted(tuple(r) for r in grouping.groups(pairs).collect()) == [(1, 3, "1,2,3", 0.95), (7, 2, "7,8", 0.86)]
+    assert n.value == 3
